@@ -11,12 +11,10 @@ from pyspark.sql import types as T
 from orderflow.fixed_values import EXPECTED_TYPES
 from orderflow.functions.text import header_name
 
-_SPARK_TYPE = {"int64": "bigint", "float64": "double", "object": "string"}
+_SPARK_TYPE = {"int64": T.LongType(), "float64": T.DoubleType(), "object": T.StringType()}
 
 ORDER_COLUMNS = tuple(EXPECTED_TYPES)
-ORDER_SCHEMA = T.StructType.fromDDL(
-    ", ".join(f"{c} {_SPARK_TYPE[t]}" for c, t in EXPECTED_TYPES.items())
-)
+ORDER_SCHEMA = T.StructType([T.StructField(c, _SPARK_TYPE[t]) for c, t in EXPECTED_TYPES.items()])
 
 _INTEGER_TEXT = r"\A\s*[+-]?\d+\s*\z"
 _NUMBER_TEXT = r"(?i)\A\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*\z"

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-LINEAGE_SCHEMA = T.StructType.fromDDL(
+LINEAGE_SCHEMA = (
     "run_id string, stage string, timestamp timestamp, source string, target string, "
     "rows_in bigint, rows_out bigint, rows_dropped bigint, columns array<string>, "
     "transformation string, extra string"
