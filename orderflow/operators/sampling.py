@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from orderflow.functions.draws import draw, hits
+from orderflow.functions.draws import MODULUS, draw, hits
 
 # A larger sample is cut by a threshold on the draw instead of a top-n.
 TOP_N_ROWS = 100_000
@@ -16,10 +16,11 @@ _EMIT_ROWS = 100_000
 
 
 def _key(key_columns: Sequence[str]) -> Column:
-    """Fold integer columns into one non-negative key."""
+    """Integer columns weighted into one non-negative key; null counts as 0."""
     key = F.lit(0).cast("bigint")
-    for c in key_columns:
-        key = draw(key + F.abs(F.coalesce(F.col(c).cast("bigint"), F.lit(0))), 21)
+    for i, c in enumerate(key_columns):
+        value = F.abs(F.coalesce(F.col(c).cast("bigint"), F.lit(0)))
+        key = key + value % MODULUS * (1 + 131071 * i)
     return key
 
 

@@ -389,13 +389,12 @@ SELECT *, {AMOUNT} AS total_amount FROM damaged"""
 
 
 def _sample_chain() -> str:
-    """Fold the key columns one by one, then draw once more."""
-    steps = ["folded0 AS (SELECT *, CAST(0 AS BIGINT) AS key FROM raw_orders)"]
-    for i, c in enumerate(("order_id", "product_id", "quantity", "customer_id")):
-        folded = _draw(f"key + abs({c})", 21)
-        steps.append(f"folded{i + 1} AS (SELECT * REPLACE ({folded} AS key) FROM folded{i})")
-    steps.append(f"drawn AS (SELECT * EXCLUDE (key), {_draw('key', 101)} AS draw FROM folded4)")
-    return f"{RAW},\n" + ",\n".join(steps)
+    """Weight the key columns into one key and draw from it."""
+    names = ("order_id", "product_id", "quantity", "customer_id")
+    key = " + ".join(f"abs({c}) % 2147483647 * {1 + 131071 * i}" for i, c in enumerate(names))
+    return f"""{RAW},
+keyed AS (SELECT *, {key} AS key FROM raw_orders),
+drawn AS (SELECT * EXCLUDE (key), {_draw("key", 101)} AS draw FROM keyed)"""
 
 
 def _sample(select: str) -> str:
