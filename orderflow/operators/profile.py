@@ -7,7 +7,7 @@ large the group is; every other count is then a weighted sum over distinct rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +20,6 @@ def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _weighted(weight: Column, condition: Column) -> Column:
-    return F.coalesce(F.sum(F.when(condition, weight).otherwise(0)), F.lit(0)).cast("bigint")
-
-
 def with_copies(df: DataFrame) -> DataFrame:
     """Distinct rows and how often each occurs; nulls equal nulls."""
     return df.groupBy(*[_col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias(COPIES))
@@ -44,32 +40,40 @@ def has_issue(columns: Sequence[str], rules: Rules, duplicated: Column) -> Colum
     return flag
 
 
-def _cell_counts(columns: Sequence[str], rules: Rules, weight: Column) -> list[Column]:
-    nulls = [_weighted(weight, _col(c).isNull()).alias(f"nulls:{c}") for c in columns]
-    passes = [_weighted(weight, ok).alias(f"valid:{name}") for name, ok in rules.items()]
-    return nulls + passes
+def _cell_counts(columns: Sequence[str], rules: Rules, copies: Column) -> dict[str, Column]:
+    """What a row adds to the null count of each column and the pass count of each rule."""
+    nulls = {f"nulls:{c}": _col(c).isNull() for c in columns}
+    passes = {f"valid:{name}": ok for name, ok in rules.items()}
+    return {name: F.when(counts, copies).otherwise(0) for name, counts in (nulls | passes).items()}
 
 
-def cell_profile(df: DataFrame, rules: Rules) -> DataFrame:
-    """Row count, nulls per column and passes per rule: one scan, no keyed shuffle."""
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"), *_cell_counts(df.columns, rules, F.lit(1))
-    )
+def row_counts(columns: Sequence[str], rules: Rules, copies: Column) -> dict[str, Column]:
+    """What a distinct row that occurs ``copies`` times adds to each profile count."""
+    return {
+        "rows": copies,
+        "later_duplicates": copies - 1,
+        "issue_rows": F.when(has_issue(columns, rules, copies > 1), copies).otherwise(0),
+        **_cell_counts(columns, rules, copies),
+    }
 
 
-def profile_columns(columns: Sequence[str], rules: Rules, copies: Column) -> list[Column]:
-    """The aggregates of a profile, over distinct rows that occur ``copies`` times."""
-    return [
-        F.coalesce(F.sum(copies), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(copies - 1), F.lit(0)).alias("later_duplicates"),
-        _weighted(copies, has_issue(columns, rules, copies > 1)).alias("issue_rows"),
-        *_cell_counts(columns, rules, copies),
-    ]
+def totals(names: Iterable[str]) -> list[Column]:
+    return [F.coalesce(F.sum(_col(n)), F.lit(0)).cast("bigint").alias(n) for n in names]
+
+
+def _add_up(df: DataFrame, counts: Mapping[str, Column]) -> DataFrame:
+    return df.select([c.alias(n) for n, c in counts.items()]).agg(*totals(counts))
+
+
+def cell_profile(df: DataFrame, rules: Rules) -> DataFrame:
+    """Row count, nulls per column and passes per rule: one scan, no keyed shuffle."""
+    one = F.lit(1).cast("bigint")
+    return _add_up(df, {"rows": one, **_cell_counts(df.columns, rules, one)})
 
 
 def row_profile(df: DataFrame, rules: Rules) -> DataFrame:
     """The cell profile plus later duplicates and rows with any issue."""
-    return with_copies(df).agg(*profile_columns(df.columns, rules, F.col(COPIES)))
+    return _add_up(with_copies(df), row_counts(df.columns, rules, F.col(COPIES)))
 
 
 def null_audit(profile: DataFrame) -> DataFrame:

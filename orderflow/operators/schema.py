@@ -53,16 +53,17 @@ def _inferred_type(field: T.StructField) -> Column:
         return F.when(has_null, "object").otherwise("bool")
     if not isinstance(field.dataType, T.StringType):
         return F.lit("object")
-    integers = every(value.rlike(_INTEGER_TEXT) & value.try_cast("bigint").isNotNull())
-    numbers = every(value.rlike(_NUMBER_TEXT))
-    booleans = every(value.rlike(_BOOLEAN_TEXT))
+    # Most text fails the first pattern at its first character; the others run on what passes.
+    number = value.rlike(_NUMBER_TEXT)
+    integer = number & value.rlike(_INTEGER_TEXT) & value.try_cast("bigint").isNotNull()
+    boolean = F.length(value).isin(4, 5) & value.rlike(_BOOLEAN_TEXT)
     all_null = F.count(value) == 0
     return (
         F.when(F.count(F.lit(1)) == 0, "object")
         .when(all_null, "float64")
-        .when(integers & ~has_null, "int64")
-        .when(numbers, "float64")
-        .when(booleans & ~has_null, "bool")
+        .when(every(integer) & ~has_null, "int64")
+        .when(every(number), "float64")
+        .when(every(boolean) & ~has_null, "bool")
         .otherwise("object")
     )
 

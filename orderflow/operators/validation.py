@@ -24,7 +24,7 @@ from orderflow.operators.clean import (
     price_counts,
     price_fills,
 )
-from orderflow.operators.profile import COPIES, profile_columns, row_profile
+from orderflow.operators.profile import COPIES, row_counts, row_profile, totals
 from orderflow.sources.shared_folder import stage
 
 # Columns the fills write to; a mark has one bit per column.
@@ -66,19 +66,21 @@ def profile_and_clean(
 ) -> DataFrame:
     """Write the cleaned orders to ``path``; return the profile of the raw ones.
 
-    The profile is observed in the stage that writes, after the last shuffle, where
+    The counts are observed in the stage that writes, after the last shuffle, where
     Spark applies each task's update once. A raw price that the fills overwrite (one
     without a product) is in no mark, so such tables are profiled on their own.
     """
-    counts = price_counts(df)
-    fills = price_fills(counts)
-    overwritten = counts.where("product_id is null and unit_price is not null")
+    prices = price_counts(df)
+    fills = price_fills(prices)
+    overwritten = prices.where("product_id is null and unit_price is not null")
     if not overwritten.isEmpty():
         return _profile_then_clean(df, rules, path, email_mode, fills)
     columns = df.columns
     seen = Observation()
     raw = _swap(_marked_rows(df, fills), "_raw_", "_filled_")
-    raw = raw.observe(seen, *profile_columns(columns, rules, F.col(COPIES)))
+    # Plain columns first: an observed expression is not compiled with the rest of the stage.
+    counts = row_counts(columns, rules, F.col(COPIES))
+    raw = raw.withColumns(counts).observe(seen, *totals(counts))
     filled = _swap(raw.where("_nth = 0"), "_filled_", "_raw_").select(columns)
     filled.transform(drop_null_email).transform(finish, email_mode).write.mode(
         "overwrite"

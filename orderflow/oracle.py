@@ -188,26 +188,31 @@ def _valid(rule: str) -> str:
 RULES = ("email", "quantity", "price", "category")
 
 
-def _score(table: str) -> str:
-    """One row of score, parts and counts for a table of the chain."""
+def _counts(table: str) -> str:
+    """One row of counts and ratios for a table of the chain."""
     any_null = " OR ".join(f"{c} IS NULL" for c in COLUMNS)
     any_failed = " OR ".join(f"NOT {_valid(r)}" for r in RULES)
     null_cells = " + ".join(f"count(*) - count({c})" for c in COLUMNS)
     shares = " + ".join(f"avg(CAST({_valid(r)} AS INTEGER))" for r in RULES)
     return f"""
-  SELECT CAST(n AS BIGINT) AS rows, CAST(dups AS BIGINT) AS later_duplicates,
-         round(issues / n * 100, 2) AS issue_pct,
-         round((completeness + uniqueness + validity) / 3 * 100, 2) AS quality_score,
-         round(completeness * 100, 2) AS completeness_pct,
-         round(uniqueness * 100, 2) AS uniqueness_pct, round(validity * 100, 2) AS validity_pct
-  FROM (
     SELECT count(*) AS n, sum(CAST(nth > 1 AS INTEGER)) AS dups,
            sum(CAST(members > 1 OR {any_null} OR {any_failed} AS INTEGER)) AS issues,
            1 - ({null_cells}) / (count(*) * {len(COLUMNS)}) AS completeness,
            1 - sum(CAST(nth > 1 AS INTEGER)) / count(*) AS uniqueness,
            ({shares}) / {len(RULES)} AS validity
     FROM (SELECT *, row_number() OVER (PARTITION BY {", ".join(COLUMNS)}) AS nth,
-                    count(*) OVER (PARTITION BY {", ".join(COLUMNS)}) AS members FROM {table}))"""
+                    count(*) OVER (PARTITION BY {", ".join(COLUMNS)}) AS members FROM {table})"""
+
+
+def _score(table: str) -> str:
+    """One row of score and parts for a table of the chain."""
+    return f"""
+  SELECT CAST(n AS BIGINT) AS rows, CAST(dups AS BIGINT) AS later_duplicates,
+         round(issues / n * 100, 2) AS issue_pct,
+         round((completeness + uniqueness + validity) / 3 * 100, 2) AS quality_score,
+         round(completeness * 100, 2) AS completeness_pct,
+         round(uniqueness * 100, 2) AS uniqueness_pct, round(validity * 100, 2) AS validity_pct
+  FROM ({_counts(table)})"""
 
 
 def _summary() -> str:
@@ -503,7 +508,8 @@ FROM (SELECT count(*) AS n FROM raw_orders GROUP BY {ALL})"""
     "category_validity": _flag("category", "product_category"),
     "validity_masks": _validity_masks(),
     "row_issue_flag": _raw(
-        f"SELECT rows, CAST(round(rows * issue_pct / 100) AS BIGINT) AS issue_rows, issue_pct FROM ({_score('raw_orders')})"
+        f"""SELECT CAST(n AS BIGINT) AS rows, CAST(issues AS BIGINT) AS issue_rows,
+  round(issues / n * 100, 2) AS issue_pct FROM ({_counts("raw_orders")})"""
     ),
     "quality_score_before": _raw(_score("raw_orders")),
     "product_median_price": _with(
