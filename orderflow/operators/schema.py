@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ _SPARK_TYPE = {"int64": T.LongType(), "float64": T.DoubleType(), "object": T.Str
 ORDER_COLUMNS = tuple(EXPECTED_TYPES)
 ORDER_SCHEMA = T.StructType([T.StructField(c, _SPARK_TYPE[t]) for c, t in EXPECTED_TYPES.items()])
 
+_LARGEST_UNSIGNED = Decimal(2**64 - 1)
 _INTEGER_TEXT = r"\A\s*[+-]?\d+\s*\z"
 _NUMBER_TEXT = r"(?i)\A\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*\z"
 _BOOLEAN_TEXT = r"\A(True|TRUE|true|False|FALSE|false)\z"
@@ -43,7 +45,7 @@ def _inferred_type(field: T.StructField) -> Column:
     has_null = F.coalesce(F.bool_or(value.isNull()), F.lit(False))
 
     def every(matches: Column) -> Column:
-        return F.coalesce(F.bool_and(matches), F.lit(True))
+        return F.coalesce(F.bool_and(F.when(value.isNotNull(), matches)), F.lit(True))
 
     if isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return F.when(has_null, "float64").otherwise("int64")
@@ -55,13 +57,17 @@ def _inferred_type(field: T.StructField) -> Column:
         return F.lit("object")
     # Most text fails the first pattern at its first character; the others run on what passes.
     number = value.rlike(_NUMBER_TEXT)
-    integer = number & value.rlike(_INTEGER_TEXT) & value.try_cast("bigint").isNotNull()
+    integer = number & value.rlike(_INTEGER_TEXT)
+    small = integer & value.try_cast("bigint").isNotNull()
+    unsigned = integer & value.try_cast("decimal(38,0)").between(0, _LARGEST_UNSIGNED)
     boolean = F.length(value).isin(4, 5) & value.rlike(_BOOLEAN_TEXT)
     all_null = F.count(value) == 0
     return (
         F.when(F.count(F.lit(1)) == 0, "object")
         .when(all_null, "float64")
-        .when(every(integer) & ~has_null, "int64")
+        .when(every(small) & ~has_null, "int64")
+        .when(every(unsigned) & ~every(small) & ~has_null, "uint64")
+        .when(every(integer) & ~every(small), "object")
         .when(every(number), "float64")
         .when(every(boolean) & ~has_null, "bool")
         .otherwise("object")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from collections.abc import Mapping
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LINEAGE_SCHEMA = (
@@ -12,10 +15,10 @@ LINEAGE_SCHEMA = (
 )
 
 
-def append_record(spark: SparkSession, record: Row, path: str) -> None:
+def append_record(spark: SparkSession, record: Mapping[str, Any], path: str) -> None:
     """Add one file to the log folder, creating it if needed. Earlier files stay as they
     are, so concurrent runs do not lose each other's records."""
-    one = spark.createDataFrame([record], LINEAGE_SCHEMA).coalesce(1)
+    one = spark.range(0, 1, 1, 1).select([F.lit(v).alias(name) for name, v in record.items()])
     one.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
