@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orderflow.fixed_values import OUTLIER_MULTIPLE, TOP_CUSTOMERS
 from orderflow.functions.dates import any_date
-from orderflow.functions.money import amount_differs, exact_sum, rounded_sum
+from orderflow.functions.money import amount_differs, from_cents, rounded_sum, sum_cents
 from orderflow.sources.counted import write_counted
 from orderflow.sources.csv_files import write_csv
 from orderflow.sources.jobs import run_together
@@ -58,7 +58,7 @@ def category_performance(fact: DataFrame, products: DataFrame) -> DataFrame:
     per_product = fact.groupBy("product_id").agg(
         F.count("order_id").alias("orders"),
         F.sum("quantity").alias("units_sold"),
-        exact_sum(F.col("total_amount")).alias("revenue"),
+        sum_cents(F.col("total_amount")).alias("cents"),
     )
     return (
         per_product.join(products.select("product_id", "product_category"), "product_id")
@@ -66,7 +66,7 @@ def category_performance(fact: DataFrame, products: DataFrame) -> DataFrame:
         .agg(
             F.sum("orders").alias("orders"),
             F.sum("units_sold").alias("units_sold"),
-            F.sum("revenue").cast("double").alias("revenue"),
+            from_cents(F.sum("cents")).alias("revenue"),
         )
         .orderBy(F.desc("revenue"))
     )
@@ -113,11 +113,16 @@ def anomalies_amount_mismatch(fact: DataFrame) -> DataFrame:
 
 
 def anomalies_high_value_orders(fact: DataFrame, multiple: float = OUTLIER_MULTIPLE) -> DataFrame:
-    """Lines above a multiple of the mean amount, highest first."""
+    """Lines above a multiple of the mean amount, highest first.
+
+    The ids after the amount keep a very common amount from sorting in one task.
+    """
     amount = F.col("total_amount")
-    mean = F.try_divide(exact_sum(amount).cast("double"), F.count(amount))
+    mean = F.try_divide(rounded_sum(amount), F.count(amount).cast("double"))
     threshold = fact.agg((mean * float(multiple)).alias("threshold"))
-    return fact.where(amount > threshold.scalar()).orderBy(F.desc("total_amount"))
+    return fact.where(amount > threshold.scalar()).orderBy(
+        F.desc("total_amount"), "order_id", "product_id", "customer_id", "quantity"
+    )
 
 
 Tables = Mapping[str, DataFrame]
