@@ -39,45 +39,60 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns(floats) if floats else df
 
 
-def _inferred_type(field: T.StructField) -> Column:
-    """Aggregate expression naming the narrowest type that holds the whole column."""
-    value = F.col(f"`{field.name}`")
-    has_null = F.coalesce(F.bool_or(value.isNull()), F.lit(False))
+# Kinds of cells, one bit each, so a column is described by the kinds it holds.
+_NULL, _INTEGER, _NEGATIVE, _UNSIGNED, _LONGER, _NUMBER, _BOOLEAN, _TEXT = (1 << i for i in range(8))
+_WHOLE = _INTEGER | _NEGATIVE | _UNSIGNED | _LONGER
 
-    def every(matches: Column) -> Column:
-        return F.coalesce(F.bool_and(F.when(value.isNotNull(), matches)), F.lit(True))
 
+def _cell_kind(field: T.StructField) -> Column:
+    """The kind of one cell. Most text is settled by the first pattern's first character."""
+    value = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return F.when(has_null, "float64").otherwise("int64")
-    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        return F.lit("float64")
-    if isinstance(field.dataType, T.BooleanType):
-        return F.when(has_null, "object").otherwise("bool")
-    if not isinstance(field.dataType, T.StringType):
-        return F.lit("object")
-    # Most text fails the first pattern at its first character; the others run on what passes.
-    number = value.rlike(_NUMBER_TEXT)
-    integer = number & value.rlike(_INTEGER_TEXT)
-    small = integer & value.try_cast("bigint").isNotNull()
-    unsigned = integer & value.try_cast("decimal(38,0)").between(0, _LARGEST_UNSIGNED)
-    boolean = F.length(value).isin(4, 5) & value.rlike(_BOOLEAN_TEXT)
-    all_null = F.count(value) == 0
+        kind = F.lit(_INTEGER)
+    elif isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        kind = F.lit(_NUMBER)
+    elif isinstance(field.dataType, T.BooleanType):
+        kind = F.lit(_BOOLEAN)
+    elif isinstance(field.dataType, T.StringType):
+        integer = value.try_cast("bigint")
+        boolean = F.length(value).isin(4, 5) & value.rlike(_BOOLEAN_TEXT)
+        kind = (
+            F.when(~value.rlike(_NUMBER_TEXT), F.when(boolean, _BOOLEAN).otherwise(_TEXT))
+            .when(~value.rlike(_INTEGER_TEXT), _NUMBER)
+            .when(integer.isNotNull(), F.when(integer < 0, _NEGATIVE).otherwise(_INTEGER))
+            .when(value.try_cast("decimal(38,0)").between(0, _LARGEST_UNSIGNED), _UNSIGNED)
+            .otherwise(_LONGER)
+        )
+    else:
+        kind = F.lit(_TEXT)
+    return F.when(value.isNull(), _NULL).otherwise(kind)
+
+
+def _type_of(kinds: Column) -> Column:
+    """The narrowest type that holds all kinds of a column; null kinds: no rows."""
+
+    def only(allowed: int) -> Column:
+        return kinds.bitwiseAND(~allowed) == 0
+
+    beyond_integer = kinds.bitwiseAND(_UNSIGNED | _LONGER) != 0
     return (
-        F.when(F.count(F.lit(1)) == 0, "object")
-        .when(all_null, "float64")
-        .when(every(small) & ~has_null, "int64")
-        .when(every(unsigned) & ~every(small) & ~has_null, "uint64")
-        .when(every(integer) & ~every(small), "object")
-        .when(every(number), "float64")
-        .when(every(boolean) & ~has_null, "bool")
+        F.when(kinds.isNull(), "object")
+        .when(kinds == _NULL, "float64")
+        .when(only(_INTEGER | _NEGATIVE), "int64")
+        .when(only(_INTEGER | _UNSIGNED), "uint64")
+        .when(only(_WHOLE | _NULL) & beyond_integer, "object")
+        .when(only(_WHOLE | _NUMBER | _NULL), "float64")
+        .when(kinds == _BOOLEAN, "bool")
         .otherwise("object")
     )
 
 
 def inferred_types(df: DataFrame) -> DataFrame:
-    """(column, inferred_type) for every column, from one aggregate without a shuffle key."""
-    one_row = df.agg(*[_inferred_type(f).alias(f.name) for f in df.schema])
-    return one_row.unpivot([], list(df.columns), "column", "inferred_type")
+    """(column, inferred_type) for every column: one scan, one small aggregate."""
+    kinds = df.select([_cell_kind(f).alias(f.name) for f in df.schema])
+    one_row = kinds.agg(*[F.bit_or(f"`{c}`").alias(c) for c in df.columns])
+    named = one_row.select([_type_of(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return named.unpivot([], list(df.columns), "column", "inferred_type")
 
 
 def missing_columns(df: DataFrame, expected: Mapping[str, str] = EXPECTED_TYPES) -> list[str]:
