@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -121,11 +121,43 @@ def schema_report(df: DataFrame, expected: Mapping[str, str] = EXPECTED_TYPES) -
     return report
 
 
-def with_order_types(df: DataFrame) -> DataFrame:
-    """Give text columns their expected types; text that does not parse becomes null."""
-    typed = {
-        f.name: F.col(f.name).try_cast(f.dataType)
-        for f in ORDER_SCHEMA
-        if df.schema[f.name].dataType != f.dataType
-    }
+def _whole_number(text: Column) -> Column:
+    """BIGINT of text such as 2, 2.0 or 2e3; null for a fraction."""
+    number = text.try_cast("decimal(38,10)")
+    whole = F.when(number == F.floor(number), number).try_cast("bigint")
+    return F.coalesce(text.try_cast("bigint"), whole)
+
+
+def fractional_columns(df: DataFrame, columns: Iterable[str]) -> list[str]:
+    """The text columns among those given in which some number is not whole."""
+    text = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
+    if not text:
+        return []
+    found = df.agg(
+        *[
+            F.bool_or(F.col(c).try_cast("double").isNotNull() & _whole_number(F.col(c)).isNull()).alias(c)
+            for c in text
+        ]
+    ).first()
+    return [c for c in text if found[c]]
+
+
+def with_order_types(df: DataFrame, as_double: Iterable[str] = ()) -> DataFrame:
+    """Give text columns their expected types; text that does not parse becomes null.
+
+    Columns in ``as_double`` hold fractions where whole numbers are expected.
+    """
+    fractions = set(as_double)
+    typed = {}
+    for field in ORDER_SCHEMA:
+        actual = df.schema[field.name].dataType
+        column = F.col(field.name)
+        if actual == field.dataType:
+            continue
+        if field.name in fractions:
+            typed[field.name] = column.try_cast("double")
+        elif isinstance(actual, T.StringType) and isinstance(field.dataType, T.LongType):
+            typed[field.name] = _whole_number(column)
+        else:
+            typed[field.name] = column.try_cast(field.dataType)
     return df.withColumns(typed) if typed else df

@@ -25,6 +25,7 @@ from orderflow.operators.generate import generate_orders
 from orderflow.operators.profile import null_report, row_profile, score_summary
 from orderflow.operators.rules import order_rules
 from orderflow.operators.schema import (
+    fractional_columns,
     nan_to_null,
     require_columns,
     schema_report,
@@ -32,6 +33,7 @@ from orderflow.operators.schema import (
     with_order_types,
 )
 from orderflow.operators.validation import profile_and_clean
+from orderflow.plans.governance import data_dictionary, read_dictionary
 from orderflow.plans.lineage import log_stage, new_run_id
 from orderflow.plans.reports import export_reports
 from orderflow.plans.warehouse import (
@@ -52,6 +54,7 @@ VALIDATED = "staging/validated_orders"
 WAREHOUSE = "warehouse"
 REPORTS_FOLDER = "reports"
 LINEAGE_LOG = "metadata/lineage_log"
+DICTIONARY = "metadata/data_dictionary"
 
 
 @dataclass
@@ -125,7 +128,10 @@ class Pipeline:
         staged = self.read(STAGING)
         require_columns(staged)
         mismatches = [r.asDict() for r in schema_report(staged).collect()]
-        orders = nan_to_null(with_order_types(staged))
+        numbers = [
+            m["column"] for m in mismatches if (m["expected"], m["actual"]) == ("int64", "float64")
+        ]
+        orders = nan_to_null(with_order_types(staged, fractional_columns(staged, numbers)))
         rules = order_rules(self.valid_categories)
         before = profile_and_clean(orders, rules, self.path(VALIDATED), self.email_mode)
         after = stage(row_profile(self.read(VALIDATED), rules), "profile_after")
@@ -158,6 +164,7 @@ class Pipeline:
         orders = self.read(VALIDATED)
         rows = build_warehouse(orders, self.path(WAREHOUSE))
         register_warehouse(orders, self.tables())
+        write_csv(data_dictionary(self.spark), self.path(DICTIONARY))
         self._log(
             STAGE_TRANSFORM,
             VALIDATED,
@@ -172,6 +179,9 @@ class Pipeline:
     def tables(self) -> dict[str, DataFrame]:
         return read_warehouse(self.spark, self.path(WAREHOUSE))
 
+    def dictionary(self) -> DataFrame:
+        return read_dictionary(self.spark, self.path(DICTIONARY))
+
     def report(self) -> dict[str, int]:
         """Export every report, log, then export the log itself. Rows per report."""
         rows = export_reports(self.tables(), self.path(REPORTS_FOLDER))

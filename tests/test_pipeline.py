@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from orderflow.plans import governance, reports, warehouse
 from orderflow.plans.fixture import FIXTURE_CATEGORIES
@@ -52,6 +53,10 @@ def test_flat_log_holds_every_stage(spark, finished):
     assert flat.count() == 4
 
 
+def test_the_catalog_is_published(finished):
+    assert finished[0].dictionary().count() == 24
+
+
 def test_a_second_run_replaces_tables_and_keeps_history(spark, raw, finished):
     pipeline, rows = finished
     again = Pipeline(spark, pipeline.folder, valid_categories=FIXTURE_CATEGORIES)
@@ -74,6 +79,16 @@ def test_csv_in_with_messy_headers(spark, orders):
     assert '"column": "quantity"' in log["02_validate"].extra and "float64" in log["02_validate"].extra
 
 
+def test_whole_numbers_written_with_a_point_are_kept(spark, orders):
+    folder = new_folder(spark, "run")
+    ids = orders({}, {"order_id": 2, "customer_id": None}).withColumn("customer_id", F.col("customer_id").cast("double"))
+    write_csv(ids.withColumn("quantity", F.lit("2.5")), f"{folder}/in")
+    pipeline = Pipeline(spark, folder)
+    pipeline.run(f"{folder}/in")
+    rows = sorted((r.order_id, r.customer_id, r.quantity, r.total_amount) for r in pipeline.read("staging/validated_orders").orderBy("order_id").collect())
+    assert rows == [(1, 10, 2.5, 8.75), (2, None, 2.5, 8.75)]
+
+
 def test_without_a_source_orders_are_generated_once(spark):
     pipeline = Pipeline(spark, new_folder(spark, "run"))
     pipeline.run()
