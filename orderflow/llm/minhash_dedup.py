@@ -168,7 +168,7 @@ def verified(docs: DataFrame, members: DataFrame, words_each: int, similarity: f
         )
     )
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string"))
-    rows = texts.join(rows, "id")
+    rows = texts.join(rows.hint("merge"), "id")  # texts move once, whatever the members' number
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, ["cluster", "low", "high"]):

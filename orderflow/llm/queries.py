@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orderflow.llm.minhash_dedup import near_duplicates
+from orderflow.llm.packing import pack
 from orderflow.llm.quality_rules import quality_rules
-from orderflow.llm.tables import documents
+from orderflow.llm.tables import documents, tokenizer_file
+from orderflow.llm.wavelet import wavelet_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), window=1024, end_id=0, with_ids=False)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -21,7 +27,13 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words_each=2, similarity=0.8)
 
 
+def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet_shards(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=2)
+
+
 QUERIES: dict[str, Query] = {
+    "op4_packing": op4_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_minhash": op8_minhash,
+    "op10_wavelet": op10_wavelet,
 }

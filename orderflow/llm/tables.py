@@ -45,3 +45,10 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         found.append(name)
     return found
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies; every machine of a cluster has the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
