@@ -1,7 +1,7 @@
 """Token ids of whole texts by a public tokenizer's file, a chunk of documents at a time.
 
-Both kinds of file split a text at white space before any merge, so a text's ids are those of its
-pieces between spaces, one after another. The distinct pieces of a chunk go to the tokenizers library
+Both kinds of file split a text at white space before any merge, and a single full stop or comma
+from the letters before it, so a text's ids are those of such pieces, one after another. The distinct pieces of a chunk go to the tokenizers library
 in one call; the ids of pieces that come again are remembered. Texts with other white space than
 single spaces and line feeds go to the library whole. Strings that name special tokens are
 ordinary text. Null is read as empty.
@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces that a Python worker remembers; beyond it, the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 #: A piece is remembered when it comes a second time; one mark each, by hash.
 _MARKS = 1 << 24
@@ -24,6 +24,12 @@ _MARKS = 1 << 24
 #: Unicode white space and separators other than the space and the line feed.
 _ODD = re.compile("[\x00-\x09\x0b-\x1f\x85\xa0 ᠎ -‍    　﻿]")
 
+#: A full stop or comma that ends a piece and may share a merge with the character before it.
+_JOINED_STOP = re.compile("[^A-Za-z0-9À-ÖØ-öø-įı-ɏ][.,](?=[ \n]|\\Z)")
+
+#: Opens a piece that has no space before it.
+_TIGHT = "\x01"
+
 _loaded: dict[str, Encoder] = {}
 
 
@@ -47,20 +53,31 @@ class Encoder:
         for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.opens[number] = token.startswith("Ġ")
         self.spaced = bool(self.opens[self._ids(" a")[0]])
-        self.separator = int(self._ids("\x00")[0])
-        self.known: dict[str, bytes] = {}
+        self.separator = int(self._ids("\n" if self.spaced else "\x00")[0])
+        self.fixed = {f"{_TIGHT}\n": self._ids("\n").astype("<u4").tobytes()} if self.spaced else {}
+        self.known: dict[str, bytes] = dict(self.fixed)
         self.marks = bytearray(_MARKS)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _look_up(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without white space; with ``spaced``, as they are behind a space."""
+        """Ids of pieces, each as it is behind white space."""
+        if not self.spaced:
+            return self._apart(pieces, " \x00 ".join(pieces))
+        loose = self._apart([p for p in pieces if p[0] != _TIGHT], None)
+        tight = [p[1:] for p in pieces if p[0] == _TIGHT]
+        tight = self._apart(tight, "\n".join(tight))
+        loose, tight = iter(loose), iter(tight)
+        return [next(tight if p[0] == _TIGHT else loose) for p in pieces]
+
+    def _apart(self, pieces: list[str], joined: str | None) -> list[bytes]:
+        """Ids of each piece, from one call: cut at a separator, or where a token opens with a space."""
         if not pieces:
             return []
-        joined = " " + " ".join(pieces) if self.spaced else " \x00 ".join(pieces)
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-        if self.spaced:
+        text = " " + " ".join(pieces) if joined is None else joined
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        if joined is None:
             starts = np.flatnonzero(self.opens[ids])
             ends = np.append(starts[1:], len(ids))
         else:
@@ -73,7 +90,7 @@ class Encoder:
 
     def _remember(self, pieces: list[str], found: list[bytes]) -> None:
         if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
+            self.known = dict(self.fixed)
         marks = self.marks
         for piece, ids in zip(pieces, found):
             mark = hash(piece) & (_MARKS - 1)
@@ -98,23 +115,25 @@ class Encoder:
         table.update(zip(fresh, ids))
         self._remember(fresh, ids)
         of = table.__getitem__
-        found = []
-        for text, pieces in zip(texts, cut):
-            if pieces is None:
-                found.append(self._ids(text).astype("<u4").tobytes())
-            elif self.spaced:  # the first piece has no space before it
-                first = text[: text.index(" ")] if pieces else text or ""
-                found.append((self._ids(first).astype("<u4").tobytes() if first else b"") + b"".join(map(of, pieces)))
-            else:
-                found.append(b"".join(map(of, pieces)))
-        return found
+        return [
+            self._ids(text).astype("<u4").tobytes() if pieces is None else b"".join(map(of, pieces))
+            for text, pieces in zip(texts, cut)
+        ]
 
     def _pieces(self, text: str) -> list[str] | None:
-        """The pieces of a text, without its first one if spaces count; None: to be encoded whole."""
+        """The pieces of a text; None: to be encoded whole."""
+        if not text:
+            return []
         if _ODD.search(text):
             return None
+        stops = not _JOINED_STOP.search(text)
         if not self.spaced:
+            if stops:
+                text = text.replace("\n", " ").replace(". ", " . ").replace(", ", " , ")
             return text.split()
-        if "  " in text or " \n" in text or "\n " in text or text.endswith((" ", "\n")):  # spaces that don't stand alone
-            return None
-        return text.split(" ")[1:]
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
+            return None  # white space that doesn't stand alone between pieces
+        text = _TIGHT + text.replace("\n", f" {_TIGHT}\n {_TIGHT}")
+        if stops:
+            text = text.replace(". ", f" {_TIGHT}. ").replace(", ", f" {_TIGHT}, ")
+        return text.split(" ")
