@@ -7,18 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orderflow.llm.minhash_dedup import near_duplicates
+from orderflow.llm.mixing import mixed_documents
 from orderflow.llm.packing import pack
 from orderflow.llm.quality_rules import quality_rules
-from orderflow.llm.tables import documents, tokenizer_file
+from orderflow.llm.sharding import kd_shards
+from orderflow.llm.tables import documents, table, tokenizer_file
+from orderflow.llm.warc import warc_round_trip
 from orderflow.llm.wavelet import wavelet_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(documents(spark, sf_dir), shards=16)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), window=1024, end_id=0, with_ids=False)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc_round_trip(table(spark, sf_dir, "pages"), least_bytes=0).select(*columns)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -27,13 +39,20 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words_each=2, similarity=0.8)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_documents(documents(spark, sf_dir))
+
+
 def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_shards(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=2)
 
 
 QUERIES: dict[str, Query] = {
+    "op1_kd_shards": op1_kd_shards,
     "op4_packing": op4_packing,
+    "op5_warc": op5_warc,
     "op7_quality_rules": op7_quality_rules,
     "op8_minhash": op8_minhash,
+    "op9_mixing": op9_mixing,
     "op10_wavelet": op10_wavelet,
 }
