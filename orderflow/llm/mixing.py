@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderflow.llm.tables import fresh, parts, written
+from orderflow.llm.tables import parts, written
 from orderflow.llm.words import chunks, texts_of, words_of
 
 WEIGHTS = (5, 2, 1)
@@ -95,10 +95,14 @@ def streams(sizes: DataFrame, seed: int) -> DataFrame:
     )
 
 
-def schedule(spark, shares: list[tuple[int, float]], slots: int) -> DataFrame:
-    """(slot, rank, turn): the source of each slot and how many slots it had before."""
-    ranks = np.array([r for r, _ in shares], np.int64)
-    edges = np.cumsum([s for _, s in shares])
+def schedule(spark, shares: list[tuple[int, int, float]], slots: int) -> DataFrame:
+    """(slot, rank, blocks, turn): the source of each slot, its blocks, and its slots before this one.
+
+    ``shares`` has a source's rank, number of blocks and weight.
+    """
+    ranks = np.array([r for r, _, _ in shares], np.int64)
+    blocks = np.array([b for _, b, _ in shares], np.int64)
+    edges = np.cumsum([s for _, _, s in shares])
     edges = edges / edges[-1]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,16 +111,17 @@ def schedule(spark, shares: list[tuple[int, float]], slots: int) -> DataFrame:
             point = (slot.astype(np.uint64) * np.uint64(GOLDEN)) >> np.uint64(11)
             source = np.minimum(np.searchsorted(edges, point / float(1 << 53), side="right"), len(ranks) - 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slot), pa.array(slot // SCHEDULE_SLOTS), pa.array(ranks[source])], ["slot", "stretch", "rank"]
+                [pa.array(slot), pa.array(slot // SCHEDULE_SLOTS), pa.array(ranks[source]), pa.array(blocks[source])],
+                ["slot", "stretch", "rank", "blocks"],
             )
 
-    dealt = spark.range(0, slots, 1, parts(slots, 16 * SCHEDULE_SLOTS)).mapInArrow(rows, "slot bigint, stretch bigint, rank bigint")
+    dealt = spark.range(0, slots, 1, parts(slots, 16 * SCHEDULE_SLOTS)).mapInArrow(rows, "slot bigint, stretch bigint, rank bigint, blocks bigint")
     counts = dealt.groupBy("rank", "stretch").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("rank").orderBy("stretch")) - F.col("n")
     own = F.row_number().over(Window.partitionBy("rank", "stretch").orderBy("slot")) - 1
     return dealt.withColumn("own", own).join(
         counts.select("rank", "stretch", before.alias("base")), ["rank", "stretch"]
-    ).select("slot", "rank", (F.col("base") + F.col("own")).alias("turn"))
+    ).select("slot", "rank", "blocks", (F.col("base") + F.col("own")).alias("turn"))
 
 
 def mix_pieces(sizes: DataFrame, wanted: DataFrame, seed: int = 11, block: int = BLOCK_WORDS) -> DataFrame:
@@ -131,13 +136,12 @@ def mix_pieces(sizes: DataFrame, wanted: DataFrame, seed: int = 11, block: int =
         F.ceil(F.col("source_size") / block).alias("blocks"),
         (F.col("target") / F.col("source_size") * F.ceil(F.col("source_size") / block)).alias("share"),
     )
-    shares = [(r["rank"], r["share"]) for r in plan.orderBy("rank").collect()]  # one row a source
-    slots = round(sum(s for _, s in shares))
+    shares = [(r["rank"], r["blocks"], r["share"]) for r in plan.orderBy("rank").collect()]  # one row a source
+    slots = round(sum(s for _, _, s in shares))
     if not slots:
         return spark.createDataFrame([], "slot bigint, round bigint, row bigint, doc_id bigint, first bigint, words bigint")
     turns = (
         schedule(spark, shares, slots)
-        .join(F.broadcast(plan.select("rank", "blocks")) if len(shares) < 100_000 else plan.select("rank", "blocks"), "rank")
         .where(F.col("turn") < MOST * F.col("blocks"))
         .select("slot", "rank", (F.col("turn") % F.col("blocks")).alias("block"), F.floor(F.col("turn") / F.col("blocks")).alias("round"))
     )

@@ -63,7 +63,38 @@ SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, doc
 FROM documents LEFT JOIN n USING (doc_id) JOIN found ON found.id = documents.doc_id
 """
 
+OP2 = f"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.r AS ra, b.r AS rb, a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+ways AS MATERIALIZED (SELECT DISTINCT a, b FROM links),
+nodes AS (SELECT DISTINCT vec_id AS doc FROM embeddings),
+{REACH},
+n AS (SELECT ra, a AS vec_id, count(*) AS n FROM links GROUP BY ra, a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e LEFT JOIN n USING (vec_id) JOIN found ON found.id = e.vec_id
+"""
+
+OP5 = """
+WITH p AS MATERIALIZED (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, upper(sha1(coalesce(html, ''))) AS h FROM pages),
+f AS (SELECT h, n, min(page_id) AS first_page FROM p GROUP BY h, n)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) % 32 + 1 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_page THEN first_page END AS refers_to
+FROM p JOIN f USING (h, n)
+"""
+
 ORACLE = {
+    "op2_embedding_dedup": OP2,
+    "op5_warc": OP5,
     "op7_quality_rules": OP7,
     "op8_minhash": OP8,
 }

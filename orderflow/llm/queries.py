@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orderflow.llm.embedding_dedup import near_vectors
 from orderflow.llm.minhash_dedup import near_duplicates
 from orderflow.llm.mixing import mixed_documents
 from orderflow.llm.packing import pack
+from orderflow.llm.quality_classifier import quality
 from orderflow.llm.quality_rules import quality_rules
 from orderflow.llm.sharding import kd_shards
 from orderflow.llm.tables import documents, table, tokenizer_file
+from orderflow.llm.toxicity import toxicity
 from orderflow.llm.warc import warc_round_trip
 from orderflow.llm.wavelet import wavelet_shards
 
@@ -22,6 +25,14 @@ def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(documents(spark, sf_dir), shards=16)
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), similarity=0.98)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), window=1024, end_id=0, with_ids=False)
 
@@ -31,6 +42,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"), least_bytes=0).select(*columns)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -49,8 +64,11 @@ def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_kd_shards": op1_kd_shards,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op5_warc": op5_warc,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op8_minhash": op8_minhash,
     "op9_mixing": op9_mixing,
