@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from orderflow.llm.components import components
 from orderflow.llm.groups import reach, whole_groups
-from orderflow.llm.tables import parts, written
+from orderflow.llm.tables import fresh, written
 from orderflow.llm.words import chunks, mix, texts_of, word_hashes, words_of
 
 REGISTERS = 128
@@ -239,3 +239,11 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, similarity: float = 0.
         .select("doc_id", "n_shingles", own.alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def keep(docs: DataFrame, words_each: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns: one document of each group."""
+    found = near_duplicates(docs, words_each, similarity)
+    name = fresh(docs, "dropped_id")[0]
+    dropped = written(found.where("NOT kept").select(F.col("doc_id").alias(name)).distinct(), "dropped")
+    return docs.join(dropped.hint("merge"), F.col("doc_id").cast("bigint") == F.col(name), "left_anti")

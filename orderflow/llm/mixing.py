@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderflow.llm.tables import parts, written
+from orderflow.llm.tables import fresh, parts, written
 from orderflow.llm.words import chunks, texts_of, words_of
 
 WEIGHTS = (5, 2, 1)
@@ -172,3 +172,39 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     return ranked.join(taken, "row", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken")
     )
+
+
+def mixed_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them, with all their columns: once for each round, cut to
+    the words taken in that round. Words and the white space between them stay as they are."""
+    row, first, words, pieces = fresh(docs, "mix_row", "mix_first", "mix_words", "mix_pieces")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    named = numbered.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", F.col(row).alias("row"))
+    sizes = written(word_counts(named, "doc_id", "source", "row"), "words")
+    wanted = written(targets(sizes), "targets")
+    ranked = sizes.join(wanted.select(F.col("source").alias("name"), "rank"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    # blocks of a round are taken in order, so what a round takes of a document is one run of words
+    runs = mix_pieces(ranked.select("row", "doc_id", "rank", "size"), wanted).groupBy("row", "round").agg(
+        F.min("first").alias(first), F.sum("words").alias(words)
+    )
+    copies = runs.select(F.col("row").alias(row), first, words)
+    joined = numbered.hint("merge").join(copies, row).drop(row)
+
+    names = docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch):
+                texts = texts_of(chunk.column("text"))
+                found = words_of(texts)
+                raw = texts.data.tobytes()
+                taken = []
+                for i, (a, n) in enumerate(zip(chunk.column(first).to_pylist(), chunk.column(words).to_pylist())):
+                    opens, total = found.first[i], found.first[i + 1] - found.first[i]
+                    low = texts.offsets[i] if a == 0 else found.start[opens + a]
+                    high = texts.offsets[i + 1] if a + n == total else found.end[opens + a + n - 1]
+                    taken.append(raw[low:high].decode())
+                at = chunk.schema.get_field_index("text")
+                yield chunk.set_column(at, chunk.schema.field(at), pa.array(taken, chunk.schema.field(at).type)).select(names)
+
+    return joined.select(*names, first, words).mapInArrow(cut, docs.schema)
