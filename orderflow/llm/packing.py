@@ -69,12 +69,13 @@ def document_frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     wide = _wide(vocabulary)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(vocabulary, np.int64)
+        found, seen = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, dtype=bool)
         for batch in batches:
             for ids in batch.column("ids"):
-                seen = np.zeros(vocabulary, dtype=bool)
-                seen[np.frombuffer(ids.as_buffer(), wide)] = True
-                found += seen
+                own = np.frombuffer(ids.as_buffer(), wide)
+                seen[own] = True
+                found[np.flatnonzero(seen)] += 1
+                seen[own] = False
         terms = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(found[terms])], ["term", "n"])
 
@@ -97,13 +98,14 @@ class Index:
             self.queries.append(own)
             terms.append(own)
             owners.append(np.full(len(own), k, np.int32))
-            norm = K1 * (1 - B + B * len(ids) / mean_length)
-            weights.append(idf[own] * often * (K1 + 1) / (often + norm))
+            often = often.astype(np.float32)
+            norm = np.float32(K1 * (1 - B + B * len(ids) / mean_length))
+            weights.append(idf[own] * often * np.float32(K1 + 1) / (often + norm))
         flat = np.concatenate(terms) if terms else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
         self.owners = np.concatenate(owners)[order] if terms else np.zeros(0, np.int32)
         self.weights = np.concatenate(weights)[order] if terms else np.zeros(0)
-        self.opens = np.searchsorted(flat[order], np.arange(len(idf) + 1))
+        self.opens = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(idf)))]).astype(np.int32)
 
     def scores(self, k: int) -> np.ndarray:
         """BM25 of all documents for the terms of document ``k``."""
@@ -112,20 +114,22 @@ class Index:
         total = int(sizes.sum())
         if not total:
             return np.zeros(self.n)
-        at = np.arange(total) + np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+        shift = first - np.concatenate([[0], np.cumsum(sizes[:-1])]).astype(np.int32)
+        at = np.arange(total, dtype=np.int32) + np.repeat(shift, sizes)
         return np.bincount(self.owners[at], self.weights[at], self.n)
 
 
 class Packer:
     """Windows of one partition, shard after shard."""
 
-    def __init__(self, window: int, idf: np.ndarray, mean_length: float, end_id: int, first_id: int) -> None:
+    def __init__(self, window: int, idf: np.ndarray, mean_length: float, end_id: int, first_id: int, with_ids: bool) -> None:
         self.window, self.idf, self.mean, self.end, self.next = window, idf, mean_length, end_id, first_id
+        self.with_ids = with_ids
         self.rest: list[tuple] = []  # (doc_id, terms, all ids with the end, start of what is left)
 
     def _piece(self, doc: tuple, start: int, length: int, offset: int) -> tuple:
         ids = doc[2][start : start + length]
-        return doc[0], start, length, zlib.crc32(ids), len(doc[2]), self.next, offset, ids.tobytes()
+        return doc[0], start, length, zlib.crc32(ids), len(doc[2]), self.next, offset, ids.tobytes() if self.with_ids else None
 
     def shard(self, documents: list[tuple], last: bool) -> list[tuple]:
         """Pieces of the windows that the documents fill; with ``last``, of all that is left."""
@@ -179,16 +183,16 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, w
     mean = max(1.0, (total or 0) / max(1, count))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(window, idf, mean, end_id, TaskContext.get().partitionId() << 32)
+        packer = Packer(window, idf, mean, end_id, TaskContext.get().partitionId() << 32, with_ids)
         held, size = [], 0
         for batch in batches:
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
                 held.append((doc_id, np.frombuffer(ids.as_buffer(), wide)))
                 size += len(held[-1][1])
                 if len(held) >= SHARD_DOCS or size >= SHARD_TOKENS:
-                    yield _batch(packer.shard(held, False), with_ids)
+                    yield _batch(packer.shard(held, False))
                     held, size = [], 0
-        yield _batch(packer.shard(held, True), with_ids)
+        yield _batch(packer.shard(held, True))
 
     found = (
         tokens.repartitionByRange(parts((total or 0) + count, PARTITION_TOKENS), "sketch", "doc_id")
@@ -198,9 +202,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, w
     return found if with_ids else found.drop("ids")
 
 
-def _batch(pieces: list[tuple], with_ids: bool) -> pa.RecordBatch:
+def _batch(pieces: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*pieces)) if pieces else [()] * 8
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     arrays = [pa.array(c, pa.int64()) for c in columns[:7]]
-    ids = pa.array(columns[7] if with_ids else [None] * len(pieces), pa.binary())
+    ids = pa.array(columns[7], pa.binary())
     return pa.RecordBatch.from_arrays([*arrays, ids], [*names, "ids"])
