@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 # 2^31 - 1 is prime, and x -> x^5 permutes the residues because 5 is coprime to
 # 2^31 - 2. Every product below stays under 2^63.
 MODULUS = 2147483647
-PER_MILLION = 1_000_000
 
 
 def draw(key: Column, salt: int) -> Column:
@@ -38,4 +37,4 @@ def draw_one(key: Column, salt: int, choices: tuple[str, ...]) -> Column:
 
 def hits(key: Column, salt: int, fraction: float) -> Column:
     """True for about ``fraction`` of the keys."""
-    return draw_below(key, salt, PER_MILLION) < round(fraction * PER_MILLION)
+    return draw(key, salt) < round(fraction * MODULUS)

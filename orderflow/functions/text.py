@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -18,8 +19,8 @@ _CASED_OR_NOT = (
 
 
 def header_name(name: str) -> str:
-    """A column header as a plain identifier: trimmed, lower case, no spaces."""
-    return "_".join(name.strip().lower().split(" "))
+    """A column header as a plain identifier: lower case, each run of white space an underscore."""
+    return re.sub(r"\s+", "_", name.strip().lower())
 
 
 def null_if_na(text: Column, tokens: Iterable[str] = NA_TOKENS) -> Column:

@@ -30,6 +30,24 @@ def duplicate_sets(df: DataFrame) -> DataFrame:
     return with_copies(df).where(F.col(COPIES) > 1).withColumnRenamed(COPIES, "copies")
 
 
+def members(df: DataFrame) -> DataFrame:
+    """Every row of ``df`` with its number among equal rows, from 1, and how many there are."""
+    columns = df.columns
+    copies = with_copies(df).withColumnRenamed(COPIES, "copies")
+    return copies.select(*[_col(c) for c in columns], F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("member"), "copies")
+
+
+def duplicate_members(df: DataFrame) -> DataFrame:
+    """Every member of a set of equal rows, the first included."""
+    return members(df).where("copies > 1")
+
+
+def issue_rows(df: DataFrame, rules: Rules) -> DataFrame:
+    """Every row with its number among equal rows and whether anything is wrong with it."""
+    flag = has_issue(df.columns, rules, F.col("copies") > 1)
+    return members(df).withColumn("has_issue", flag).drop("copies")
+
+
 def has_issue(columns: Sequence[str], rules: Rules, duplicated: Column) -> Column:
     """Any null, any duplicate, or any failed rule."""
     flag = duplicated

@@ -103,7 +103,7 @@ def require_columns(df: DataFrame, expected: Mapping[str, str] = EXPECTED_TYPES)
     """Stop before any job runs when a required column is absent."""
     missing = missing_columns(df, expected)
     if missing:
-        raise ValueError(f"Schema validation failed. Missing columns: {missing}")
+        raise ValueError(f"the orders lack the columns {missing}; they have {df.columns}")
 
 
 def schema_report(df: DataFrame, expected: Mapping[str, str] = EXPECTED_TYPES) -> DataFrame:
@@ -142,17 +142,49 @@ def fractional_columns(df: DataFrame, columns: Iterable[str]) -> list[str]:
     return [c for c in text if found[c]]
 
 
-def with_order_types(df: DataFrame, as_double: Iterable[str] = ()) -> DataFrame:
-    """Give text columns their expected types; text that does not parse becomes null.
+#: Columns that name things: they keep whatever text they hold.
+ID_COLUMNS = ("order_id", "customer_id", "product_id")
 
-    Columns in ``as_double`` hold fractions where whole numbers are expected.
+
+class UnreadableValues(ValueError):
+    """A column of measures holds text that is no number."""
+
+
+def text_ids(mismatches: Iterable[Mapping[str, str]]) -> list[str]:
+    """The id columns of a schema report that hold text."""
+    return [m["column"] for m in mismatches if m["column"] in ID_COLUMNS and m["actual"] == "object"]
+
+
+def require_numbers(df: DataFrame, mismatches: Iterable[Mapping[str, str]]) -> None:
+    """Stop, naming columns and counts, where numbers are expected and some text is none."""
+    doubtful = [
+        m["column"] for m in mismatches
+        if m["expected"] != "object" and m["actual"] in ("object", "bool") and m["column"] not in ID_COLUMNS
+    ]
+    if not doubtful:
+        return
+    counts = df.agg(
+        *[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(c) for c in doubtful]
+    ).first()
+    unread = {c: counts[c] for c in doubtful if counts[c]}
+    if unread:
+        raise UnreadableValues(f"values that are no numbers, by column: {unread}")
+
+
+def with_order_types(
+    df: DataFrame, as_double: Iterable[str] = (), as_text: Iterable[str] = ()
+) -> DataFrame:
+    """Give text columns their expected types.
+
+    Columns in ``as_double`` hold fractions where whole numbers are expected, those in ``as_text`` are
+    ids that stay text. Elsewhere text that does not parse becomes null: see ``require_numbers``.
     """
-    fractions = set(as_double)
+    fractions, kept = set(as_double), set(as_text)
     typed = {}
     for field in ORDER_SCHEMA:
         actual = df.schema[field.name].dataType
         column = F.col(field.name)
-        if actual == field.dataType:
+        if actual == field.dataType or field.name in kept:
             continue
         if field.name in fractions:
             typed[field.name] = column.try_cast("double")

@@ -24,7 +24,7 @@ from orderflow.operators.clean import (
     price_counts,
     price_fills,
 )
-from orderflow.operators.profile import COPIES, row_counts, row_profile, totals
+from orderflow.operators.profile import row_counts, row_profile, totals
 from orderflow.sources.shared_folder import stage
 
 # Columns the fills write to; a mark has one bit per column.
@@ -32,27 +32,35 @@ FILLED = ("product_category", "region", "unit_price")
 _MARKS = range(1 << len(FILLED))
 
 
-def _marked_rows(df: DataFrame, fills: PriceFills) -> DataFrame:
-    """Distinct filled rows per mark: filled values, raw values under ``_raw_*``, copies.
+def _free_prefix(columns: list[str]) -> str:
+    """A prefix that no column starts with, so helper columns never meet an input column."""
+    prefix = "_of_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = f"_{prefix}"
+    return prefix
 
-    The rows of one filled row are numbered by ``_nth``, from 0.
+
+def _marked_rows(df: DataFrame, fills: PriceFills, own: str) -> DataFrame:
+    """Distinct filled rows per mark: filled values, raw values, copies; helpers are named ``own...``.
+
+    The rows of one filled row are numbered from 0.
     """
     columns = df.columns
     bits = [F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(FILLED)]
-    marked = df.withColumn("_mark", sum(bits[1:], bits[0]))
+    marked = df.withColumn(f"{own}mark", sum(bits[1:], bits[0]))
     filled = marked.transform(fill_unknown).transform(impute_unit_price, fills)
     counted = filled.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(
-        *[F.count_if(F.col("_mark") == m).alias(f"_n{m}") for m in _MARKS]
+        *[F.count_if(F.col(f"{own}mark") == m).alias(f"{own}n{m}") for m in _MARKS]
     )
-    variants = F.array(*[F.struct(F.lit(m).alias("mark"), F.col(f"_n{m}").alias("n")) for m in _MARKS])
+    variants = F.array(*[F.struct(F.lit(m).alias("mark"), F.col(f"{own}n{m}").alias("n")) for m in _MARKS])
     numbered = counted.select(
-        *columns, F.posexplode(F.filter(variants, lambda v: v["n"] > 0)).alias("_nth", "_variant")
+        *[F.col(f"`{c}`") for c in columns], F.posexplode(F.filter(variants, lambda v: v["n"] > 0)).alias(f"{own}nth", f"{own}variant")
     )
     raw = {
-        f"_raw_{c}": F.when(F.col("_variant.mark").bitwiseAND(1 << i) == 0, F.col(c))
+        f"{own}raw_{c}": F.when(F.col(f"{own}variant.mark").bitwiseAND(1 << i) == 0, F.col(c))
         for i, c in enumerate(FILLED)
     }
-    return numbered.withColumns(raw | {COPIES: F.col("_variant.n")}).drop("_variant")
+    return numbered.withColumns(raw | {f"{own}copies": F.col(f"{own}variant.n")}).drop(f"{own}variant")
 
 
 def _swap(df: DataFrame, prefix_in: str, prefix_out: str) -> DataFrame:
@@ -76,12 +84,15 @@ def profile_and_clean(
     if not overwritten.isEmpty():
         return _profile_then_clean(df, rules, path, email_mode, fills)
     columns = df.columns
+    own = _free_prefix(columns)
     seen = Observation()
-    raw = _swap(_marked_rows(df, fills), "_raw_", "_filled_")
+    raw = _swap(_marked_rows(df, fills, own), f"{own}raw_", f"{own}filled_")
     # Plain columns first: an observed expression is not compiled with the rest of the stage.
-    counts = row_counts(columns, rules, F.col(COPIES))
-    raw = raw.withColumns(counts).observe(seen, *totals(counts))
-    filled = _swap(raw.where("_nth = 0"), "_filled_", "_raw_").select(columns)
+    counts = {f"{own}{name}": count for name, count in row_counts(columns, rules, F.col(f"{own}copies")).items()}
+    raw = raw.withColumns(counts).observe(
+        seen, *[total.alias(name.removeprefix(own)) for name, total in zip(counts, totals(counts))]
+    )
+    filled = _swap(raw.where(F.col(f"{own}nth") == 0), f"{own}filled_", f"{own}raw_").select([F.col(f"`{c}`") for c in columns])
     filled.transform(drop_null_email).transform(finish, email_mode).write.mode(
         "overwrite"
     ).parquet(path)

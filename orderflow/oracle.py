@@ -6,6 +6,8 @@ of the cleaning chain; nothing here is built from the DataFrame code.
 
 from __future__ import annotations
 
+import re
+
 COLUMNS = (
     "order_id", "customer_id", "customer_email", "product_id", "product_category", "quantity",
     "unit_price", "order_date", "region", "payment_method", "total_amount",
@@ -15,7 +17,7 @@ EMAIL = r"'^[^@\s]+@[^@\s]+\.[^@\s]+$'"
 CATEGORIES = "('economy', 'large', 'medium', 'promo', 'small', 'standard')"
 
 AMOUNT = (
-    "CAST(round_even(CAST(quantity AS DECIMAL(18,0)) * CAST(unit_price AS DECIMAL(18,4)), 2) AS DOUBLE)"
+    "CAST(round_even(CAST(quantity AS DECIMAL(10,0)) * CAST(unit_price AS DECIMAL(28,10)), 2) AS DOUBLE)"
 )
 
 RAW = f"""
@@ -349,7 +351,7 @@ def _draw(key: str, salt: int) -> str:
 
 
 def _hits(key: str, salt: int, fraction: float) -> str:
-    return f"{_draw(key, salt)} % 1000000 < {round(fraction * 1_000_000)}"
+    return f"{_draw(key, salt)} < {round(fraction * 2147483647)}"
 
 
 def _pick(key: str, salt: int, choices: tuple[str, ...]) -> str:
@@ -408,23 +410,23 @@ def _sample(select: str) -> str:
 
 # Documented columns with their types, stages and personal-data flags.
 DICTIONARY = """
-('raw_orders', 'order_id', 'int', 'no', 'raw'), ('raw_orders', 'customer_id', 'int', 'no', 'raw'),
-('raw_orders', 'customer_email', 'string', 'yes', 'raw'), ('raw_orders', 'product_id', 'int', 'no', 'raw'),
-('raw_orders', 'product_category', 'string', 'no', 'raw'), ('raw_orders', 'quantity', 'int', 'no', 'raw'),
-('raw_orders', 'unit_price', 'float', 'no', 'raw'), ('raw_orders', 'order_date', 'string', 'no', 'raw'),
-('raw_orders', 'region', 'string', 'no', 'raw'), ('raw_orders', 'payment_method', 'string', 'no', 'raw'),
-('raw_orders', 'total_amount', 'float', 'no', 'raw'), ('validated_orders', '*', '*', 'mixed', 'validate'),
-('dim_customer', 'customer_id', 'int', 'no', 'transform'),
-('dim_customer', 'lifetime_orders', 'int', 'no', 'transform'),
-('dim_customer', 'lifetime_spend', 'float', 'no', 'transform'),
-('dim_product', 'product_id', 'int', 'no', 'transform'),
-('dim_product', 'avg_unit_price', 'float', 'no', 'transform'),
-('dim_date', 'order_date', 'string', 'no', 'transform'), ('fact_orders', 'order_id', 'int', 'no', 'transform'),
-('fact_orders', 'total_amount', 'float', 'no', 'transform'),
-('vw_monthly_revenue', 'total_revenue', 'float', 'no', 'report'),
-('vw_category_performance', 'revenue', 'float', 'no', 'report'),
-('vw_anomalies_amount_mismatch', '*', '*', 'no', 'report'),
-('vw_anomalies_high_value_orders', '*', '*', 'no', 'report')"""
+('raw_orders', 'order_id', 'int', 'no', '01_ingest'), ('raw_orders', 'customer_id', 'int', 'no', '01_ingest'),
+('raw_orders', 'customer_email', 'string', 'yes', '01_ingest'), ('raw_orders', 'product_id', 'int', 'no', '01_ingest'),
+('raw_orders', 'product_category', 'string', 'no', '01_ingest'), ('raw_orders', 'quantity', 'int', 'no', '01_ingest'),
+('raw_orders', 'unit_price', 'float', 'no', '01_ingest'), ('raw_orders', 'order_date', 'string', 'no', '01_ingest'),
+('raw_orders', 'region', 'string', 'no', '01_ingest'), ('raw_orders', 'payment_method', 'string', 'no', '01_ingest'),
+('raw_orders', 'total_amount', 'float', 'no', '01_ingest'), ('validated_orders', '*', '*', 'mixed', '02_validate'),
+('dim_customer', 'customer_id', 'int', 'no', '03_transform'),
+('dim_customer', 'lifetime_orders', 'int', 'no', '03_transform'),
+('dim_customer', 'lifetime_spend', 'float', 'no', '03_transform'),
+('dim_product', 'product_id', 'int', 'no', '03_transform'),
+('dim_product', 'avg_unit_price', 'float', 'no', '03_transform'),
+('dim_date', 'order_date', 'string', 'no', '03_transform'), ('fact_orders', 'order_id', 'int', 'no', '03_transform'),
+('fact_orders', 'total_amount', 'float', 'no', '03_transform'),
+('vw_monthly_revenue', 'total_revenue', 'float', 'no', '04_generate_reports'),
+('vw_category_performance', 'revenue', 'float', 'no', '04_generate_reports'),
+('vw_anomalies_amount_mismatch', '*', '*', 'no', '04_generate_reports'),
+('vw_anomalies_high_value_orders', '*', '*', 'no', '04_generate_reports')"""
 
 FACT_COLUMNS = (
     "order_id", "customer_id", "product_id", "order_date", "region", "payment_method", "quantity",
@@ -455,8 +457,9 @@ def _catalog(select: str) -> str:
             for c in columns
         ]
     )
+    chain = re.sub(r"\b(raw_orders|validated_orders|fact_orders) AS \(", r"\1 AS MATERIALIZED (", f"{RAW},{STAR}")
     return _with(
-        f"{RAW},{STAR}, held AS ({held}), "
+        f"{chain}, held AS MATERIALIZED ({held}), "
         f'dictionary AS (SELECT * FROM (VALUES {DICTIONARY}) t("table", entry, data_type, pii, source_stage)), '
         'documented AS (SELECT held."table", held."column", data_type, pii, source_stage, rows, nulls '
         'FROM held JOIN dictionary d ON held."table" = d."table" '
@@ -506,6 +509,23 @@ FROM (SELECT count(*) AS n FROM raw_orders GROUP BY {ALL})"""
     ),
     "email_validity": _flag("email", "customer_email"),
     "category_validity": _flag("category", "product_category"),
+    "quantity_validity": _flag("quantity", "quantity"),
+    "price_validity": _flag("price", "unit_price"),
+    "duplicate_members": _raw(
+        f"""SELECT {ALL}, member, copies FROM (
+  SELECT *, row_number() OVER (PARTITION BY {ALL}) AS member, count(*) OVER (PARTITION BY {ALL}) AS copies
+  FROM raw_orders) WHERE copies > 1"""
+    ),
+    "row_issue_rows": _raw(
+        f"""SELECT {ALL}, member, copies > 1 OR {" OR ".join(f"{c} IS NULL" for c in COLUMNS)}
+  OR {" OR ".join(f"NOT ({_valid(r)})" for r in RULES)} AS has_issue FROM (
+  SELECT *, row_number() OVER (PARTITION BY {ALL}) AS member, count(*) OVER (PARTITION BY {ALL}) AS copies
+  FROM raw_orders)"""
+    ),
+    "recompute_total_amount_fine": _raw(
+        f"SELECT * REPLACE ({AMOUNT} AS total_amount) FROM (SELECT * REPLACE "
+        "(unit_price + (order_id % 997) / 100000000.0e0 AS unit_price) FROM raw_orders)"
+    ),
     "validity_masks": _validity_masks(),
     "row_issue_flag": _raw(
         f"""SELECT CAST(n AS BIGINT) AS rows, CAST(issues AS BIGINT) AS issue_rows,
@@ -572,7 +592,7 @@ SELECT ancestor, min(distance) AS distance FROM found GROUP BY ancestor""",
         f"""SELECT {ALL} FROM drawn
 ORDER BY draw, {", ".join(f"{c} NULLS FIRST" for c in COLUMNS)} LIMIT 150"""
     ),
-    "sample_fraction": _sample(f"SELECT {ALL} FROM drawn WHERE draw % 1000000 < 40000"),
+    "sample_fraction": _sample(f"SELECT {ALL} FROM drawn WHERE draw < {round(0.04 * 2147483647)}"),
     "data_dictionary": _catalog("SELECT * FROM documented"),
     "pii_columns": _catalog("SELECT * FROM documented WHERE pii <> 'no'"),
     "dictionary_coverage": _catalog(

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderflow.fixed_values import STAGE_INGEST, STAGE_REPORTS, STAGE_TRANSFORM, STAGE_VALIDATE
+
 DICTIONARY_SCHEMA = (
     "table string, column string, data_type string, description string, "
     "source_stage string, transformation_applied string, pii string"
@@ -15,30 +17,30 @@ DICTIONARY_SCHEMA = (
 # The documented columns, their types and their personal-data flags.
 # Column * stands for the whole table; pii is yes, no or mixed.
 _ENTRIES = (
-    ("raw_orders", "order_id", "int", "Order line number", "raw", "none", "no"),
-    ("raw_orders", "customer_id", "int", "Customer number", "raw", "none", "no"),
-    ("raw_orders", "customer_email", "string", "Address the customer is reached at", "raw", "rows without one are dropped", "yes"),
-    ("raw_orders", "product_id", "int", "Product number", "raw", "none", "no"),
-    ("raw_orders", "product_category", "string", "Category name", "raw", "missing becomes Unknown, then trimmed and title-cased", "no"),
-    ("raw_orders", "quantity", "int", "Units on the line", "raw", "rows not above zero are dropped", "no"),
-    ("raw_orders", "unit_price", "float", "Price of one unit", "raw", "missing becomes the product median; rows not above zero are dropped", "no"),
-    ("raw_orders", "order_date", "string", "Day of the order as text, in two formats", "raw", "kept as text; parsed on demand", "no"),
-    ("raw_orders", "region", "string", "Region of the sale", "raw", "missing becomes Unknown", "no"),
-    ("raw_orders", "payment_method", "string", "How the order was paid", "raw", "none", "no"),
-    ("raw_orders", "total_amount", "float", "Amount of the line", "raw", "quantity x unit price, computed again after cleaning", "no"),
-    ("validated_orders", "*", "*", "Order lines that passed cleaning", "validate", "filled, without copies, rules applied", "mixed"),
-    ("dim_customer", "customer_id", "int", "Customer number", "transform", "group key", "no"),
-    ("dim_customer", "lifetime_orders", "int", "Distinct orders of the customer", "transform", "count distinct", "no"),
-    ("dim_customer", "lifetime_spend", "float", "Amount spent by the customer", "transform", "sum", "no"),
-    ("dim_product", "product_id", "int", "Product number", "transform", "group key", "no"),
-    ("dim_product", "avg_unit_price", "float", "Mean price of the product", "transform", "average", "no"),
-    ("dim_date", "order_date", "string", "Day of the order as text", "transform", "year, month, day and quarter derived", "no"),
-    ("fact_orders", "order_id", "int", "Order line number", "transform", "none", "no"),
-    ("fact_orders", "total_amount", "float", "Amount of the line", "transform", "none", "no"),
-    ("vw_monthly_revenue", "total_revenue", "float", "Revenue of the month", "report", "sum by month", "no"),
-    ("vw_category_performance", "revenue", "float", "Revenue of the category", "report", "sum by category", "no"),
-    ("vw_anomalies_amount_mismatch", "*", "*", "Lines whose amount is not quantity x unit price", "report", "check", "no"),
-    ("vw_anomalies_high_value_orders", "*", "*", "Lines far above the mean amount", "report", "outlier cut", "no"),
+    ("raw_orders", "order_id", "int", "Order line number", STAGE_INGEST, "none", "no"),
+    ("raw_orders", "customer_id", "int", "Customer number", STAGE_INGEST, "none", "no"),
+    ("raw_orders", "customer_email", "string", "Address the customer is reached at", STAGE_INGEST, "rows without one are dropped", "yes"),
+    ("raw_orders", "product_id", "int", "Product number", STAGE_INGEST, "none", "no"),
+    ("raw_orders", "product_category", "string", "Category name", STAGE_INGEST, "missing becomes Unknown, then trimmed and title-cased", "no"),
+    ("raw_orders", "quantity", "int", "Units on the line", STAGE_INGEST, "rows not above zero are dropped", "no"),
+    ("raw_orders", "unit_price", "float", "Price of one unit", STAGE_INGEST, "missing becomes the product median; rows not above zero are dropped", "no"),
+    ("raw_orders", "order_date", "string", "Day of the order as text, in two formats", STAGE_INGEST, "kept as text; parsed on demand", "no"),
+    ("raw_orders", "region", "string", "Region of the sale", STAGE_INGEST, "missing becomes Unknown", "no"),
+    ("raw_orders", "payment_method", "string", "How the order was paid", STAGE_INGEST, "none", "no"),
+    ("raw_orders", "total_amount", "float", "Amount of the line", STAGE_INGEST, "quantity x unit price, computed again after cleaning", "no"),
+    ("validated_orders", "*", "*", "Order lines that passed cleaning", STAGE_VALIDATE, "filled, without copies, rules applied", "mixed"),
+    ("dim_customer", "customer_id", "int", "Customer number", STAGE_TRANSFORM, "group key", "no"),
+    ("dim_customer", "lifetime_orders", "int", "Distinct orders of the customer", STAGE_TRANSFORM, "count distinct", "no"),
+    ("dim_customer", "lifetime_spend", "float", "Amount spent by the customer", STAGE_TRANSFORM, "sum", "no"),
+    ("dim_product", "product_id", "int", "Product number", STAGE_TRANSFORM, "group key", "no"),
+    ("dim_product", "avg_unit_price", "float", "Mean price of the product", STAGE_TRANSFORM, "average", "no"),
+    ("dim_date", "order_date", "string", "Day of the order as text", STAGE_TRANSFORM, "year, month, day and quarter derived", "no"),
+    ("fact_orders", "order_id", "int", "Order line number", STAGE_TRANSFORM, "none", "no"),
+    ("fact_orders", "total_amount", "float", "Amount of the line", STAGE_TRANSFORM, "none", "no"),
+    ("vw_monthly_revenue", "total_revenue", "float", "Revenue of the month", STAGE_REPORTS, "sum by month", "no"),
+    ("vw_category_performance", "revenue", "float", "Revenue of the category", STAGE_REPORTS, "sum by category", "no"),
+    ("vw_anomalies_amount_mismatch", "*", "*", "Lines whose amount is not quantity x unit price", STAGE_REPORTS, "check", "no"),
+    ("vw_anomalies_high_value_orders", "*", "*", "Lines far above the mean amount", STAGE_REPORTS, "outlier cut", "no"),
 )
 
 

@@ -28,8 +28,10 @@ from orderflow.operators.schema import (
     fractional_columns,
     nan_to_null,
     require_columns,
+    require_numbers,
     schema_report,
     standardize_columns,
+    text_ids,
     with_order_types,
 )
 from orderflow.operators.validation import profile_and_clean
@@ -131,7 +133,9 @@ class Pipeline:
         numbers = [
             m["column"] for m in mismatches if (m["expected"], m["actual"]) == ("int64", "float64")
         ]
-        orders = nan_to_null(with_order_types(staged, fractional_columns(staged, numbers)))
+        require_numbers(staged, mismatches)
+        typed = with_order_types(staged, fractional_columns(staged, numbers), text_ids(mismatches))
+        orders = nan_to_null(typed)
         rules = order_rules(self.valid_categories)
         before = profile_and_clean(orders, rules, self.path(VALIDATED), self.email_mode)
         after = stage(row_profile(self.read(VALIDATED), rules), "profile_after")

@@ -145,6 +145,12 @@ def duplicate_count(orders: DataFrame) -> DataFrame:
     )
 
 
+def recompute_fine_prices(orders: DataFrame) -> DataFrame:
+    """Amounts of prices with eight decimals."""
+    fine = F.col("unit_price") + (F.col("order_id") % 997) / F.lit(100000000.0)
+    return clean.recompute_total_amount(orders.withColumn("unit_price", fine))
+
+
 def rule_flag(name: str, *columns: str) -> Query:
     return on_raw(lambda orders: orders.select("order_id", "product_id", *columns, rules()[name].alias("valid")))
 
@@ -240,6 +246,11 @@ QUERIES: dict[str, Query] = {
     "duplicate_rows": on_raw(profile.duplicate_sets),
     "email_validity": rule_flag("email", "customer_email"),
     "category_validity": rule_flag("category", "product_category"),
+    "quantity_validity": rule_flag("quantity", "quantity"),
+    "price_validity": rule_flag("price", "unit_price"),
+    "duplicate_members": on_raw(profile.duplicate_members),
+    "row_issue_rows": on_raw(lambda o: profile.issue_rows(o, rules())),
+    "recompute_total_amount_fine": on_raw(recompute_fine_prices),
     "validity_masks": on_raw(lambda o: profile.pass_shares(profile.cell_profile(o, rules()))),
     "row_issue_flag": on_raw(lambda o: profile.issue_share(profile.row_profile(o, rules()))),
     "quality_score_before": on_raw(lambda o: profile.quality_score(profile.row_profile(o, rules()))),

@@ -17,6 +17,7 @@ def evaluate(spark, values, build, kind="string"):
 def test_header_name():
     assert text.header_name(" Order ID ") == "order_id"
     assert text.header_name("Customer Email") == "customer_email"
+    assert text.header_name("Unit  Price\t(net)") == "unit_price_(net)"
 
 
 def test_na_tokens(spark):

@@ -45,10 +45,66 @@ def test_typed_column_with_null_is_a_mismatch(orders):
     assert {tuple(r) for r in report} == {("quantity", "int64", "float64"), ("region", "object", "missing")}
 
 
-def test_text_that_does_not_parse_becomes_null(spark, orders):
-    text = orders({}).select([F.col(c).cast("string") for c in schema.ORDER_COLUMNS])
-    out = schema.with_order_types(text.withColumn("quantity", F.lit("many"))).first()
-    assert out.quantity is None and out.unit_price == 3.5
+def test_text_that_is_no_number_stops_the_run(spark, orders):
+    text = orders({}, {"quantity": 3}).select([F.col(c).cast("string") for c in schema.ORDER_COLUMNS])
+    odd = text.withColumn("quantity", F.when(F.col("quantity") == "3", "3 pcs").otherwise(F.col("quantity")))
+    mismatches = [r.asDict() for r in schema.schema_report(odd).collect()]
+    with pytest.raises(schema.UnreadableValues, match="quantity.*1"):
+        schema.require_numbers(odd, mismatches)
+    schema.require_numbers(text, [r.asDict() for r in schema.schema_report(text).collect()])
+
+
+def test_text_ids_stay_text(spark, tmp_path):
+    head = "order_id,customer_id,customer_email,product_id,product_category,quantity,unit_price,order_date,region,payment_method,total_amount"
+    lines = [
+        "C536379,1,a@b.c,85123A,Books,2,100.0,2023-01-05,North,COD,200.0",
+        "C536380,1,a@b.c,22423,Books,2,100.0,2023-01-05,North,COD,200.0",
+        "536381,1,a@b.c,22423B,Books,2,50.0,2023-01-05,North,COD,100.0",
+        "C536390,1,a@b.c,85123A,Books,2,,2023-01-05,North,COD,200.0",
+    ]
+    path = tmp_path / "orders.csv"
+    path.write_text("\n".join([head, *lines]) + "\n")
+    from orderflow.plans.pipeline import Pipeline
+
+    run = Pipeline(spark, str(tmp_path / "out"))
+    run.run(str(path))
+    got = {r.order_id: r for r in run.read("staging/validated_orders").collect()}
+    assert set(got) == {"C536379", "C536380", "536381", "C536390"}
+    assert got["536381"].unit_price == 50.0 and got["C536390"].unit_price == 100.0
+    assert got["536381"].product_id == "22423B"
+
+
+def test_extra_columns_keep_their_values(spark, orders, tmp_path):
+    extra = {"rows": "77", "_mark": "a", "_nth": "b", "later_duplicates": "c", "_raw_region": "d", "_of_mark": "e"}
+    df = orders({}, {}, {"order_id": 2, "region": None}).withColumns({k: F.lit(v) for k, v in extra.items()})
+    from orderflow.operators.rules import order_rules
+    from orderflow.operators.validation import profile_and_clean
+
+    profile_and_clean(df, order_rules(), str(tmp_path / "clean"))
+    rows = spark.read.parquet(str(tmp_path / "clean")).collect()
+    assert sorted(r.order_id for r in rows) == [1, 2]
+    assert all(r[k] == v for r in rows for k, v in extra.items())
+
+
+def test_small_fractions_keep_rows(spark):
+    from orderflow.operators.sampling import sample_fraction
+
+    kept = sample_fraction(spark.range(20_000_000).withColumnRenamed("id", "k"), ["k"], 1e-6).count()
+    assert 1 <= kept <= 100
+
+
+def test_amounts_are_exact_or_carry_on(spark):
+    from orderflow.functions import money
+
+    rows = [(1000, 0.12345, 123.45), (1_000_000, 0.00012, 120.0), (100_000, 0.00004, 4.0), (3, 0.335, 1.0), (2, 3.5, 7.0), (10**12, 5000.0, 5e15), (1, float("inf"), float("inf"))]
+    df = spark.createDataFrame(rows, "q bigint, p double, want double")
+    got = df.select("want", money.line_amount(F.col("q"), F.col("p")).alias("got"), money.amount_differs(F.col("q"), F.col("p"), F.col("want")).alias("bad")).collect()
+    assert [r.got for r in got] == [123.45, 120.0, 4.0, 1.0, 7.0, 5e15, float("inf")]
+    assert [r.bad for r in got] == [False, False, False, True, False, False, False]
+    total = df.agg(money.rounded_sum(F.col("want")).alias("t"), money.rounded_average(F.col("p")).alias("a")).first()
+    assert total.t == float("inf") and total.a == float("inf")
+    fine = spark.createDataFrame([(0.12345,), (0.12355,)], "p double").agg(money.rounded_average(F.col("p"))).first()[0]
+    assert fine == 0.12
 
 
 # --- median ---------------------------------------------------------------------------
