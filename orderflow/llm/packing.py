@@ -45,7 +45,7 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
         encode = encoder(tokenizer)
         wide = _wide(encode.vocabulary)
         for batch in batches:
-            for chunk in chunks(batch, most=4 << 20):
+            for chunk in chunks(batch, most=2 << 20):
                 ids = [np.frombuffer(x, "<u4") for x in encode.encode(chunk.column("text").to_pylist())]
                 hashes = mix(np.arange(encode.vocabulary, dtype=np.uint64) + np.uint64(1)).view(np.int64)
                 sketch = [int(hashes[x].min()) if len(x) else 0 for x in ids]

@@ -15,8 +15,9 @@ from itertools import chain
 
 import numpy as np
 
-#: Pieces that a Python worker remembers; beyond it, the memory starts anew.
-REMEMBERED = 600_000
+#: Pieces that a Python worker remembers. The most frequent ones come first, so a full memory stays
+#: as it is, until a chunk finds less than half of its pieces in it.
+REMEMBERED = 250_000
 
 #: A piece is remembered when it comes a second time; one mark each, by hash.
 _MARKS = 1 << 24
@@ -88,8 +89,10 @@ class Encoder:
         raw = ids.astype("<u4").tobytes()
         return [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
 
-    def _remember(self, pieces: list[str], found: list[bytes]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
+    def _remember(self, pieces: list[str], found: list[bytes], of: int) -> None:
+        if len(self.known) >= REMEMBERED:
+            if 2 * len(pieces) < of:
+                return
             self.known = dict(self.fixed)
         marks = self.marks
         for piece, ids in zip(pieces, found):
@@ -113,7 +116,7 @@ class Encoder:
                 table[piece] = ids
         ids = self._look_up(fresh)
         table.update(zip(fresh, ids))
-        self._remember(fresh, ids)
+        self._remember(fresh, ids, len(table))
         of = table.__getitem__
         return [
             self._ids(text).astype("<u4").tobytes() if pieces is None else b"".join(map(of, pieces))

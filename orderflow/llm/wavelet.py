@@ -154,7 +154,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> N
             )
 
         for batch in batches:
-            for chunk in chunks(batch, most=4 << 20):
+            for chunk in chunks(batch, most=2 << 20):
                 for doc, found in zip(chunk.column("doc_id").to_pylist(), encode.encode(chunk.column("text").to_pylist())):
                     held.append(found + end)
                     ids.append(doc)
