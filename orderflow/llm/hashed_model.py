@@ -71,16 +71,13 @@ def sparse(n: int, row: np.ndarray, index: np.ndarray, bits: int, unit: bool) ->
 def training_rows(labelled: DataFrame, features: Features, bits: int, unit: bool, label=None) -> DataFrame:
     """Features of a sample of about TRAIN_ROWS rows (doc_id, text, label), the same in every run.
 
-    Rows are taken by a hash of their doc_id; all rows, if there are no more than that. ``label`` adds
-    the labels to (doc_id, text), for sampled rows only.
+    Rows are taken by a hash of their doc_id; all rows, if there are no more than that. ``label`` gives
+    the labels of a chunk of (doc_id, text) rows that have none yet.
     """
     total = labelled.count()
     share = min(1.0, TRAIN_ROWS / max(1, total))
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(1_000_000)) < share * 1_000_000)
 
-    if label is not None:
-        chosen = chosen.select("doc_id", "text").mapInArrow(label, "doc_id bigint, text string, label double")
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch):
@@ -88,7 +85,7 @@ def training_rows(labelled: DataFrame, features: Features, bits: int, unit: bool
                 opens = pa.array(np.searchsorted(found.row, np.arange(chunk.num_rows + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        chunk.column("doc_id"), chunk.column("label"),
+                        chunk.column("doc_id"), pa.array(label(chunk)) if label else chunk.column("label"),
                         pa.ListArray.from_arrays(opens, pa.array(found.index, pa.int32())),
                         pa.ListArray.from_arrays(opens, pa.array(found.value, pa.float32())),
                     ],
@@ -96,7 +93,7 @@ def training_rows(labelled: DataFrame, features: Features, bits: int, unit: bool
                 )
 
     schema = "doc_id bigint, label double, at array<int>, x array<float>"
-    dealt = chosen.select("doc_id", "text", "label").mapInArrow(rows, schema)
+    dealt = chosen.select("doc_id", "text", *([] if label else ["label"])).mapInArrow(rows, schema)
     return written(dealt.repartition(PARTITIONS, F.xxhash64("doc_id")).sortWithinPartitions(F.xxhash64("doc_id", F.lit(5))), "training")
 
 

@@ -83,9 +83,8 @@ def votes(batch: pa.RecordBatch) -> np.ndarray:
     m = measure(batch)
     texts = texts_of(batch.column("text"))
     words = words_of(texts)
-    row = np.repeat(np.arange(batch.num_rows), np.diff(words.first)).astype(np.uint64)
-    pairs = np.unique(np.stack([row, word_hashes(texts, words, lower=True)]), axis=1)[0] if len(row) else row
-    m["n_distinct"] = np.bincount(pairs.astype(np.int64), minlength=batch.num_rows)
+    hashes = word_hashes(texts, words, lower=True)
+    m["n_distinct"] = np.array([len(np.unique(hashes[a:b])) for a, b in zip(words.first, words.first[1:])], np.int64)
     pattern = np.zeros(batch.num_rows, np.int64)
     for labeller in LABELLERS.values():
         pattern = 3 * pattern + labeller(m) + 1
@@ -174,12 +173,8 @@ def fit(docs: DataFrame) -> Model:
     if len(patterns):
         chance_of[patterns] = posteriors(patterns, counts)[0]
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in chunks(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [chunk.column("doc_id"), chunk.column("text"), pa.array(chance_of[votes(chunk)])], ["doc_id", "text", "label"]
-                )
+    def label(chunk: pa.RecordBatch) -> np.ndarray:
+        return chance_of[votes(chunk)]
 
     return train(
         training_rows(texts.where("doc_id IS NOT NULL"), shapes, BITS, unit=True, label=label), BITS, 0, EPOCHS, weigh=False, balance=False
