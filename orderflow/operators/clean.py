@@ -17,9 +17,6 @@ from orderflow.functions.text import is_email, strip_whitespace, title_case
 from orderflow.operators.median import median_of_counts
 from orderflow.sources.shared_folder import stage
 
-# Up to this many fill prices (a key and a price each, some 32 MB) are broadcast.
-BROADCAST_ROWS = 1_000_000
-
 
 def fill_unknown(df: DataFrame) -> DataFrame:
     return df.fillna({"product_category": UNKNOWN, "region": UNKNOWN})
@@ -51,7 +48,6 @@ class PriceFills:
     """
 
     by_product: DataFrame
-    products: int
     overall: DataFrame | None
 
 
@@ -80,35 +76,28 @@ def price_fills(counts: DataFrame) -> PriceFills:
     overall = None
     if not needs_overall.isEmpty():
         overall = stage(overall_median(counts, by_product), "price_overall")
-    return PriceFills(by_product, by_product.count(), overall)
+    return PriceFills(by_product, overall)
 
 
-def impute_unit_price(
-    df: DataFrame, fills: PriceFills | None = None, broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def impute_unit_price(df: DataFrame, fills: PriceFills | None = None) -> DataFrame:
     """Product median where the price is missing, overall median where that is too.
 
-    A row without a product gets the overall median even if it has a price.
+    A row without a product gets the overall median even if it has a price. Only the rows that lack
+    a price meet the fills: a second scan is cheaper than shuffling every row, Spark chooses the
+    join by the written sizes, and AQE splits a product that is hot there.
     """
     fills = fills or price_fills(price_counts(df))
     by_product = fills.by_product.select("product_id", "fill_price")
     overall = fills.overall.scalar() if fills.overall else F.lit(None)
-    columns = df.columns
+    columns = [F.col(f"`{c}`") for c in df.columns]
 
     def fill(part: DataFrame, found: Column) -> DataFrame:
         price = F.when(F.col("product_id").isNotNull(), F.coalesce(F.col("unit_price"), found))
         return part.withColumn("unit_price", F.coalesce(price, overall)).select(columns)
 
-    if fills.products <= broadcast_rows:
-        joined = df.join(F.broadcast(by_product), "product_id", "left")
-        return fill(joined, F.col("fill_price"))
-    # Too many fills to broadcast: shuffle only the rows that need one. A second scan
-    # is cheaper than shuffling every row, and AQE splits a product that is hot there.
     needs_product_fill = F.col("unit_price").isNull() & F.col("product_id").isNotNull()
     joined = df.where(needs_product_fill).join(by_product, "product_id", "left")
-    return fill(df.where(~needs_product_fill), F.lit(None)).unionByName(
-        fill(joined, F.col("fill_price"))
-    )
+    return fill(df.where(~needs_product_fill), F.lit(None)).unionByName(fill(joined, F.col("fill_price")))
 
 
 def drop_null_email(df: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Exact medians over counted values, with bounded groups.
 
-``median`` keeps a map of all distinct values of a group in one task. Here the values
-are counted first, map-side combined and spread over tasks by value. A group with few
-distinct values is ranked in one sorted window. A larger one is summed per narrow value
-bucket, the bucket that holds the middle is found, and only that bucket is ranked, so no
-task ever sorts a whole large group.
+``median`` keeps a map of all distinct values of a group in one task. Here the values are
+counted first, map-side combined and spread over tasks by value. They are then summed per
+value bucket and only the bucket with the middle goes on: first buckets of 1/256 of a factor e,
+then, twice, 65,536 equal parts between the smallest and the largest value of the bucket kept.
+A bucket of the first kind holds at most 2^44 different DOUBLEs, so after both refinements at
+most some 2^12 are left to be ranked, whatever the data. No task sorts a whole group.
 """
 
 from __future__ import annotations
@@ -14,104 +15,85 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Groups with more distinct values than this are ranked bucket by bucket.
-WINDOW_ROWS = 1_000_000
-
-# A bucket spans 1/256 of a factor e. The exponent range of a DOUBLE bounds the
+# A first bucket spans 1/256 of a factor e. The exponent range of a DOUBLE bounds the
 # number of buckets of a group; money fills a few thousand of them.
 _BUCKETS_PER_E = 256
 _OFFSET = 1_000_000
+_INFINITE = 1 << 40
+
+# A refinement cuts the range that is left into this many parts.
+_PARTS = 1 << 16
+_REFINEMENTS = 2
 
 
 def value_bucket(value: Column) -> Column:
     """A BIGINT that never decreases as the value grows."""
-    step = F.floor(F.ln(F.abs(value)) * _BUCKETS_PER_E) + _OFFSET
+    size = F.abs(value)
+    step = F.when(size == float("inf"), F.lit(_INFINITE)).otherwise(F.floor(F.ln(size) * _BUCKETS_PER_E) + _OFFSET)
     return F.when(value > 0, step).when(value < 0, -step).otherwise(F.lit(0).cast("bigint"))
 
 
-def _with_middle_ranks(df: DataFrame) -> DataFrame:
-    """0-based ranks of the middle value, or of the middle two."""
-    return df.withColumn("_low", F.floor((F.col("_total") - 1) / 2)).withColumn(
-        "_high", F.floor(F.col("_total") / 2)
-    )
+def _part(value: Column) -> Column:
+    """The part of ``_least`` to ``_most`` that a value falls in; never decreases as the value grows."""
+    share = F.try_divide(value - F.col("_least"), F.col("_most") - F.col("_least"))
+    return F.least(F.floor(share * _PARTS), F.lit(_PARTS - 1))
+
 
+def _middle(counts: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
+    """(keys, _least, _most, _before, _total, _settled) of the bucket with the middle of each group.
 
-def _middle_mean(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    ``counts`` has (keys, _value, _n, _before, _total): how many values are smaller than all those
+    given, and how many the whole group has. Two middle values in two buckets are the largest of
+    one and the smallest of the other, so they are settled.
+    """
+    upto = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    per_bucket = (
+        counts.withColumn("_bucket", bucket)
+        .groupBy(*keys, "_bucket", "_before", "_total")
+        .agg(F.sum("_n").alias("_in_bucket"), F.min("_value").alias("_first"), F.max("_value").alias("_last"))
+        .withColumn("_upto", F.col("_before") + F.sum("_in_bucket").over(upto))
+        .withColumn("_under", F.col("_upto") - F.col("_in_bucket"))
+    )
+    low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
+    one = F.count(F.lit(1)) == 1
     return (
-        ranked.where("_first <= _high and _first + _n > _low")
+        per_bucket.where((F.col("_under") <= high) & (F.col("_upto") > low))
         .groupBy(*keys)
-        .agg(((F.min("_value") + F.max("_value")) / 2).alias("median"))
+        .agg(
+            F.when(one, F.min("_first")).otherwise(F.min("_last")).alias("_least"),
+            F.when(one, F.max("_last")).otherwise(F.max("_first")).alias("_most"),
+            F.min("_under").alias("_before"),
+            F.first("_total").alias("_total"),
+            (~one | (F.min("_first") == F.max("_last"))).alias("_settled"),
+        )
     )
 
 
-def _median_by_window(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    whole = Window.partitionBy(*keys)
-    upto = whole.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.select(
-        *keys,
-        "_value",
-        "_n",
-        (F.sum("_n").over(upto) - F.col("_n")).alias("_first"),
-        F.sum("_n").over(whole).alias("_total"),
-    )
-    return _middle_mean(_with_middle_ranks(ranked), keys)
+def _within(counts: DataFrame, middle: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The counted values of the buckets that are still to be refined."""
+    left = middle.where("NOT _settled").drop("_settled")
+    return counts.join(left, list(keys)).where("_value BETWEEN _least AND _most")
 
 
-def _median_by_bucket(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    group = [F.col(k) for k in keys] or [F.lit(0)]
-    whole = Window.partitionBy(*group)
-    upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    within = (
-        Window.partitionBy(*group, "_bucket")
-        .orderBy("_value")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    bucketed = counts.withColumn("_bucket", value_bucket(F.col("_value")))
-    per_bucket = (
-        bucketed.groupBy(*keys, "_bucket")
-        .agg(F.sum("_n").alias("_in_bucket"))
-        .select(
-            *keys,
-            "_bucket",
-            "_in_bucket",
-            (F.sum("_in_bucket").over(upto) - F.col("_in_bucket")).alias("_before"),
-            F.sum("_in_bucket").over(whole).alias("_total"),
-        )
-    )
-    middle = (
-        _with_middle_ranks(per_bucket)
-        .where("_before <= _high and _before + _in_bucket > _low")
-        .select(*keys, "_bucket", "_before", "_low", "_high")
-    )
-    ranked = bucketed.join(middle, [*keys, "_bucket"]).withColumn(
-        "_first", F.col("_before") + F.sum("_n").over(within) - F.col("_n")
-    )
-    return _middle_mean(ranked, keys)
+def _settled(middle: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return middle.where("_settled").select(*keys, ((F.col("_least") + F.col("_most")) / 2).alias("median"))
 
 
-def median_of_counts(
-    counts: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    weight: str,
-    window_rows: int = WINDOW_ROWS,
-) -> DataFrame:
+def median_of_counts(counts: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
     """(keys, median): the middle value, or the mean of the middle two.
 
-    ``counts`` has one row per (keys, value), is cheap to scan again, and gives the
-    number of times the value occurs; null values do not count. Without keys the
-    values may repeat.
+    ``counts`` gives the number of times a value occurs; a (keys, value) may come several times,
+    null values do not count. It is read once per refinement, so it should be cheap to scan again.
     """
     known = counts.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).alias("_value"), F.col(weight).alias("_n")
-    )
-    if not keys:
-        return _median_by_bucket(known.groupBy("_value").agg(F.sum("_n").alias("_n")), keys)
-    large = known.groupBy(*keys).count().where(F.col("count") > window_rows).select(*keys)
-    if large.isEmpty():
-        return _median_by_window(known, keys)
-    # At most one key in ``window_rows`` values is large, so this list stays small.
-    large = F.broadcast(large)
-    return _median_by_window(known.join(large, list(keys), "left_anti"), keys).unionByName(
-        _median_by_bucket(known.join(large, list(keys), "left_semi"), keys)
+        *([F.col(k) for k in keys] or [F.lit(0).alias("_all")]), F.col(value).alias("_value"), F.col(weight).alias("_n")
     )
+    by = list(keys) or ["_all"]
+    whole = known.join(known.groupBy(*by).agg(F.sum("_n").alias("_total")), by)
+    middle = _middle(whole.withColumn("_before", F.lit(0).cast("bigint")), by, value_bucket(F.col("_value")))
+    medians = _settled(middle, by)
+    for _ in range(_REFINEMENTS):
+        middle = _middle(_within(known, middle, by), by, _part(F.col("_value")))
+        medians = medians.unionByName(_settled(middle, by))
+    middle = _middle(_within(known, middle, by), by, F.col("_value"))
+    return medians.unionByName(_settled(middle, by)).select(*keys, "median")

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from orderflow.functions.draws import MODULUS, draw, hits
 
-# A larger sample is cut by a threshold on the draw instead of a top-n.
-TOP_N_ROWS = 100_000
-_DRAWS_PER_BUCKET = 1 << 15
+# A draw has 31 bits, a row's hash 64; a digit is 16 of them.
+_DIGIT_BITS = 16
+_DIGIT = (1 << _DIGIT_BITS) - 1
+_FEW_ROWS = 100_000
 _EMIT_ROWS = 100_000
 
 
@@ -31,40 +32,52 @@ def sample_fraction(
     return df.where(hits(_key(key_columns), 100 + seed, fraction))
 
 
-def sample_rows(
-    df: DataFrame,
-    key_columns: Sequence[str],
-    n: int,
-    seed: int = 1,
-    top_n_rows: int = TOP_N_ROWS,
-) -> DataFrame:
+def sample_rows(df: DataFrame, key_columns: Sequence[str], n: int, seed: int = 1) -> DataFrame:
     """Exactly ``n`` rows (all rows if there are fewer): those with the lowest draws.
 
-    Rows with the same draw are taken in the order of their columns.
+    Rows with the same draw are taken in the order of a hash of all columns. Every range of places that
+    fits as a whole is taken by a filter; the range that the sample ends in is cut finer, digit by
+    digit, until it has few rows. Copies of a row share every digit, so they are counted at the end.
     """
-    drawn = df.withColumn("_draw", draw(_key(key_columns), 100 + seed))
-    order = ["_draw", *df.columns]
-    if n <= top_n_rows:
-        return drawn.orderBy(*order).limit(n).drop("_draw")
-    # Take every draw bucket that fits as a whole, and the rest from the next one.
-    bucket = F.floor(F.col("_draw") / _DRAWS_PER_BUCKET)
-    cut = _first_above(drawn.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows")), n)
-    if cut is None:
-        return df
-    # Copies in the cut bucket are counted, not carried, until it is known how many stay.
-    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    wanted = F.least("_copies", F.lit(n - cut.before) - (F.sum("_copies").over(upto) - F.col("_copies")))
-    rest = (
-        drawn.where(bucket == cut.bucket)
-        .groupBy(*order)
-        .agg(F.count(F.lit(1)).alias("_copies"))
-        .withColumn("_wanted", wanted)
-        .where("_wanted > 0")
-        .withColumn("_block", F.explode(F.expr(f"sequence(0, (_wanted - 1) div {_EMIT_ROWS})")))
-        .withColumn("_in_block", F.least(F.lit(_EMIT_ROWS), F.col("_wanted") - F.col("_block") * _EMIT_ROWS))
-        .withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_in_block"))))
+    place = draw(_key(key_columns), 100 + seed)
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    digits = [
+        F.shiftright(place, _DIGIT_BITS),
+        place.bitwiseAND(_DIGIT),
+        F.shiftrightunsigned(tie, 48),
+        F.shiftrightunsigned(tie, 32).bitwiseAND(_DIGIT),
+    ]
+    taken, here, wanted = F.lit(False), F.lit(True), n
+    for digit in digits:
+        cut = _first_above(df.where(here).groupBy(digit.alias("bucket")).agg(F.count(F.lit(1)).alias("rows")), wanted)
+        if cut is None:
+            return df.where(taken | here)
+        taken = taken | (here & (digit < cut.bucket))
+        here, wanted = here & (digit == cut.bucket), wanted - cut.before
+        if wanted == 0:
+            return df.where(taken)
+        if cut.rows <= _FEW_ROWS:
+            break
+    return df.where(taken).unionByName(_cut_rows(df.where(here), wanted, place, tie))
+
+
+def _cut_rows(df: DataFrame, wanted: int, place: Column, tie: Column) -> DataFrame:
+    """The first ``wanted`` rows by place, hash and columns, of rows few but for their copies."""
+    own = "_of_"
+    while any(c.lower().startswith(own) for c in df.columns):
+        own = f"_{own}"
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    copies, take, block, row = (f"{own}{name}" for name in ("copies", "take", "block", "row"))
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias(copies))
+    upto = Window.orderBy(place, tie, *columns).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.sum(copies).over(upto) - F.col(copies)
+    return (
+        counted.withColumn(take, F.least(F.col(copies), F.lit(wanted) - before))
+        .where(F.col(take) > 0)
+        .withColumn(block, F.explode(F.expr(f"sequence(0, ({take} - 1) div {_EMIT_ROWS})")))
+        .withColumn(row, F.explode(F.expr(f"sequence(1, least({_EMIT_ROWS}, {take} - {block} * {_EMIT_ROWS}))")))
+        .select(columns)
     )
-    return drawn.where(bucket < cut.bucket).select(df.columns).unionByName(rest.select(df.columns))
 
 
 def _first_above(counts: DataFrame, n: int) -> Row | None:

@@ -110,20 +110,22 @@ def test_amounts_are_exact_or_carry_on(spark):
 # --- median ---------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("window_rows", [1_000_000, 3])
-def test_median_matches_brute_force(spark, window_rows):
+def test_median_matches_brute_force(spark):
     random.seed(3)
     groups = {
         1: [5.0], 2: [1.0, 2.0], 3: [-1.0, 0.0, 0.0, 4.25, 1e9],
         4: [round(random.uniform(-50, 500), 2) for _ in range(501)],
         5: [7.0] * 400 + [round(random.uniform(1, 9), 2) for _ in range(200)],
         6: [0.001, 0.002, 0.0015, 1e-9],
+        7: [1 + i / 1e7 for i in range(3000)],
+        8: [1 + i * 2.0**-52 for i in range(300)] + [1.0, 1e300],
+        10: [float("inf"), 3.0, float("inf"), -2.0, 8.0],
     }
     rows = [(g, v) for g, values in groups.items() for v in values] + [(1, None), (9, None)]
     counts = (
         spark.createDataFrame(rows, "g int, v double").groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
     )
-    out = median.median_of_counts(counts, ["g"], "v", "n", window_rows).collect()
+    out = median.median_of_counts(counts, ["g"], "v", "n").collect()
     assert {r.g: r["median"] for r in out} == {g: statistics.median(v) for g, v in groups.items()}
     every = [v for values in groups.values() for v in values]
     assert median.median_of_counts(counts, [], "v", "n").first()[0] == statistics.median(every)
@@ -154,10 +156,9 @@ PRICE_ROWS = [
 ]
 
 
-@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
-def test_impute_by_product_then_overall(orders, broadcast_rows):
+def test_impute_by_product_then_overall(orders):
     df = orders(*PRICE_ROWS)
-    out = clean.impute_unit_price(df, broadcast_rows=broadcast_rows)
+    out = clean.impute_unit_price(df)
     overall = statistics.median([10.0, 20.0, 15.0, -1.0])
     assert prices(out) == [(1, 10.0), (2, 20.0), (3, 15.0), (4, overall), (5, overall), (6, overall), (7, -1.0)]
 
@@ -166,11 +167,6 @@ def test_impute_without_any_price_leaves_null(orders):
     assert clean.impute_unit_price(orders({"unit_price": None})).first().unit_price is None
 
 
-def test_both_imputation_joins_agree(raw):
-    fills = clean.price_fills(clean.price_counts(raw))
-    assert as_set(clean.impute_unit_price(raw, fills)) == as_set(clean.impute_unit_price(raw, fills, 0))
-
-
 def test_clean_keeps_its_step_order(orders):
     out = clean.clean(
         orders(
@@ -297,16 +293,29 @@ KEYS = ("order_id", "product_id", "quantity", "customer_id")
 
 
 @pytest.mark.parametrize("n", [0, 1, 150, 3000, 100000])
-def test_sample_by_threshold_equals_top_n(raw, n):
+def test_sample_is_the_rows_with_the_lowest_draws(raw, n):
+    drawn = raw.withColumn("place", sampling.draw(sampling._key(KEYS), 101))
+    places = sorted(r.place for r in drawn.select("place").collect())[:n]
     top = sampling.sample_rows(raw, KEYS, n)
-    cut = sampling.sample_rows(raw, KEYS, n, top_n_rows=-1)
-    assert as_set(cut) == as_set(top)
-    assert top.count() == min(n, raw.count())
+    found = top.withColumn("place", sampling.draw(sampling._key(KEYS), 101))
+    assert sorted(r.place for r in found.select("place").collect()) == places
+    assert top.exceptAll(raw).isEmpty()
+
+
+def test_sample_is_cut_finer_while_a_range_has_many_rows(raw, monkeypatch):
+    once = as_set(sampling.sample_rows(raw, KEYS, 150))
+    monkeypatch.setattr(sampling, "_FEW_ROWS", 0)
+    assert as_set(sampling.sample_rows(raw, KEYS, 150)) == once
 
 
 def test_sample_counts_copies(orders):
     df = orders(*[{} for _ in range(50)], {"order_id": 2})
-    assert sampling.sample_rows(df, KEYS, 20, top_n_rows=-1).count() == 20
+    assert sampling.sample_rows(df, KEYS, 20).count() == 20
+
+
+def test_a_tiny_fraction_still_keeps_rows(spark):
+    df = spark.range(30_000_000)
+    assert 0 < sampling.sample_fraction(df, ["id"], 1e-6).count() < 200
 
 
 def test_sample_fraction_is_a_subset(raw):
