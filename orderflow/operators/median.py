@@ -11,10 +11,13 @@ most some 2^12 are left to be ranked, whatever the data. No task sorts a whole g
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderflow.sources.shared_folder import stage
+
 # A first bucket spans 1/256 of a factor e. The exponent range of a DOUBLE bounds the
 # number of buckets of a group; money fills a few thousand of them.
 _BUCKETS_PER_E = 256
@@ -42,22 +45,29 @@ def _part(value: Column) -> Column:
 def _middle(counts: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
     """(keys, _least, _most, _before, _total, _settled) of the bucket with the middle of each group.
 
-    ``counts`` has (keys, _value, _n, _before, _total): how many values are smaller than all those
-    given, and how many the whole group has. Two middle values in two buckets are the largest of
-    one and the smallest of the other, so they are settled.
+    ``counts`` has (keys, _value, _n) and, if it is a part of the groups, _before and _total: how many
+    values are smaller than all those given, and how many the whole group has. Two middle values in
+    two buckets are the largest of one and the smallest of the other, so they are settled.
     """
-    upto = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    known = [c for c in ("_before", "_total") if c in counts.columns]
     per_bucket = (
         counts.withColumn("_bucket", bucket)
-        .groupBy(*keys, "_bucket", "_before", "_total")
+        .groupBy(*keys, "_bucket", *known)
         .agg(F.sum("_n").alias("_in_bucket"), F.min("_value").alias("_first"), F.max("_value").alias("_last"))
-        .withColumn("_upto", F.col("_before") + F.sum("_in_bucket").over(upto))
-        .withColumn("_under", F.col("_upto") - F.col("_in_bucket"))
+    )
+    if not known:
+        per_bucket = per_bucket.withColumns(
+            {"_before": F.lit(0).cast("bigint"), "_total": F.sum("_in_bucket").over(group)}
+        )
+    ranked = per_bucket.withColumn("_upto", F.col("_before") + F.sum("_in_bucket").over(upto)).withColumn(
+        "_under", F.col("_upto") - F.col("_in_bucket")
     )
     low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
     one = F.count(F.lit(1)) == 1
     return (
-        per_bucket.where((F.col("_under") <= high) & (F.col("_upto") > low))
+        ranked.where((F.col("_under") <= high) & (F.col("_upto") > low))
         .groupBy(*keys)
         .agg(
             F.when(one, F.min("_first")).otherwise(F.min("_last")).alias("_least"),
@@ -69,31 +79,24 @@ def _middle(counts: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame
     )
 
 
-def _within(counts: DataFrame, middle: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The counted values of the buckets that are still to be refined."""
-    left = middle.where("NOT _settled").drop("_settled")
-    return counts.join(left, list(keys)).where("_value BETWEEN _least AND _most")
-
-
-def _settled(middle: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return middle.where("_settled").select(*keys, ((F.col("_least") + F.col("_most")) / 2).alias("median"))
-
-
 def median_of_counts(counts: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
     """(keys, median): the middle value, or the mean of the middle two.
 
     ``counts`` gives the number of times a value occurs; a (keys, value) may come several times,
-    null values do not count. It is read once per refinement, so it should be cheap to scan again.
+    null values do not count. It is read once per step, so it should be cheap to scan again. A step
+    writes a row per group that is still open; the steps end when no group is.
     """
     known = counts.where(F.col(value).isNotNull()).select(
         *([F.col(k) for k in keys] or [F.lit(0).alias("_all")]), F.col(value).alias("_value"), F.col(weight).alias("_n")
     )
     by = list(keys) or ["_all"]
-    whole = known.join(known.groupBy(*by).agg(F.sum("_n").alias("_total")), by)
-    middle = _middle(whole.withColumn("_before", F.lit(0).cast("bigint")), by, value_bucket(F.col("_value")))
-    medians = _settled(middle, by)
-    for _ in range(_REFINEMENTS):
-        middle = _middle(_within(known, middle, by), by, _part(F.col("_value")))
-        medians = medians.unionByName(_settled(middle, by))
-    middle = _middle(_within(known, middle, by), by, F.col("_value"))
-    return medians.unionByName(_settled(middle, by)).select(*keys, "median")
+    part, found = known, []
+    for bucket in (value_bucket(F.col("_value")), *[_part(F.col("_value"))] * _REFINEMENTS, F.col("_value")):
+        middle = stage(_middle(part, by, bucket), "middles")
+        found.append(middle.where("_settled"))
+        left = middle.where("NOT _settled").drop("_settled")
+        if left.isEmpty():
+            break
+        part = known.join(left, by).where("_value BETWEEN _least AND _most")
+    medians = reduce(DataFrame.unionByName, found)
+    return medians.select(*keys, ((F.col("_least") + F.col("_most")) / 2).alias("median"))
