@@ -93,3 +93,32 @@ SYNTHETIC_PAYMENT_METHODS = (
 SYNTHETIC_ROWS = 5000
 SYNTHETIC_FIRST_DAY = "2023-01-01"
 SYNTHETIC_LAST_DAY_OFFSET = 730
+
+# Fixed values of the documented columns: table, column, type, stage, personal data.
+# Column * stands for the whole table; personal data is yes, no or mixed.
+DOCUMENTED = (
+    ("raw_orders", "order_id", "int", STAGE_INGEST, "no"),
+    ("raw_orders", "customer_id", "int", STAGE_INGEST, "no"),
+    ("raw_orders", "customer_email", "string", STAGE_INGEST, "yes"),
+    ("raw_orders", "product_id", "int", STAGE_INGEST, "no"),
+    ("raw_orders", "product_category", "string", STAGE_INGEST, "no"),
+    ("raw_orders", "quantity", "int", STAGE_INGEST, "no"),
+    ("raw_orders", "unit_price", "float", STAGE_INGEST, "no"),
+    ("raw_orders", "order_date", "string", STAGE_INGEST, "no"),
+    ("raw_orders", "region", "string", STAGE_INGEST, "no"),
+    ("raw_orders", "payment_method", "string", STAGE_INGEST, "no"),
+    ("raw_orders", "total_amount", "float", STAGE_INGEST, "no"),
+    ("validated_orders", "*", "*", STAGE_VALIDATE, "mixed"),
+    ("dim_customer", "customer_id", "int", STAGE_TRANSFORM, "no"),
+    ("dim_customer", "lifetime_orders", "int", STAGE_TRANSFORM, "no"),
+    ("dim_customer", "lifetime_spend", "float", STAGE_TRANSFORM, "no"),
+    ("dim_product", "product_id", "int", STAGE_TRANSFORM, "no"),
+    ("dim_product", "avg_unit_price", "float", STAGE_TRANSFORM, "no"),
+    ("dim_date", "order_date", "string", STAGE_TRANSFORM, "no"),
+    ("fact_orders", "order_id", "int", STAGE_TRANSFORM, "no"),
+    ("fact_orders", "total_amount", "float", STAGE_TRANSFORM, "no"),
+    ("vw_monthly_revenue", "total_revenue", "float", STAGE_REPORTS, "no"),
+    ("vw_category_performance", "revenue", "float", STAGE_REPORTS, "no"),
+    ("vw_anomalies_amount_mismatch", "*", "*", STAGE_REPORTS, "no"),
+    ("vw_anomalies_high_value_orders", "*", "*", STAGE_REPORTS, "no"),
+)

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import re
 
-COLUMNS = (
-    "order_id", "customer_id", "customer_email", "product_id", "product_category", "quantity",
-    "unit_price", "order_date", "region", "payment_method", "total_amount",
+from orderflow.fixed_values import (
+    DOCUMENTED, EXPECTED_TYPES, NA_TOKENS, SYNTHETIC_CATEGORIES, SYNTHETIC_PAYMENT_METHODS, SYNTHETIC_REGIONS,
 )
 
+COLUMNS = tuple(EXPECTED_TYPES)
+
 EMAIL = r"'^[^@\s]+@[^@\s]+\.[^@\s]+$'"
 CATEGORIES = "('economy', 'large', 'medium', 'promo', 'small', 'standard')"
 
@@ -274,16 +275,8 @@ def _types(columns: tuple[str, ...]) -> str:
     )
 
 
-EXPECTED = {
-    "order_id": "int64", "customer_id": "int64", "customer_email": "object", "product_id": "int64",
-    "product_category": "object", "quantity": "int64", "unit_price": "float64",
-    "order_date": "object", "region": "object", "payment_method": "object",
-    "total_amount": "float64",
-}
-
-
 def _schema_report() -> str:
-    expected = ", ".join(f"('{c}', '{t}')" for c, t in EXPECTED.items())
+    expected = ", ".join(f"('{c}', '{t}')" for c, t in EXPECTED_TYPES.items())
     present = tuple(c for c in COLUMNS if c != "payment_method")
     return _with(
         f"{RAW},{DAMAGED}, inferred AS ({_types(present)}), "
@@ -294,14 +287,8 @@ WHERE inferred_type IS NULL OR expected <> inferred_type""",
     )
 
 
-TOKENS = (
-    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
-    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
-)
-
-
 def _na_tokens() -> str:
-    tokens = ", ".join(f"'{t}'" for t in TOKENS)
+    tokens = ", ".join(f"'{t}'" for t in NA_TOKENS)
     return _raw(
         f"""SELECT order_id, product_id, text,
   CASE WHEN text IN ({tokens}) THEN NULL ELSE text END AS value
@@ -360,9 +347,6 @@ def _pick(key: str, salt: int, choices: tuple[str, ...]) -> str:
 
 
 def _generated() -> str:
-    categories = ("Electronics", "electronics", "Clothing", "clothing", "Home & Kitchen", "Books", "Toys", "Sports")
-    regions = ("North", "South", "East", "West", "Central")
-    methods = ("Credit Card", "Debit Card", "UPI", "Net Banking", "COD")
     row = "order_id * 2 + copy"
     return f"""WITH ids AS (SELECT o_orderkey + 1 AS id, count(*) OVER () AS n FROM orders),
 spread AS (
@@ -373,12 +357,12 @@ base AS (
   SELECT id AS order_id, customer AS customer_id,
     CASE WHEN NOT {_hits("id", 11, 0.04)} THEN 'customer' || customer || '@example.com' END AS customer_email,
     100 + {_draw("id", 2)} % 160 AS product_id,
-    CASE WHEN NOT {_hits("id", 12, 0.02)} THEN {_pick("id", 3, categories)} END AS product_category,
+    CASE WHEN NOT {_hits("id", 12, 0.02)} THEN {_pick("id", 3, SYNTHETIC_CATEGORIES)} END AS product_category,
     1 + {_draw("id", 4)} % 9 AS quantity,
     CASE WHEN NOT {_hits("id", 14, 0.01)} THEN (500 + {_draw("id", 5)} % 49501) / 100.0e0 END AS unit_price,
     CASE WHEN (id - 1) % 7 = 0 THEN strftime(d, '%d/%m/%Y') ELSE strftime(d, '%Y-%m-%d') END AS order_date,
-    CASE WHEN NOT {_hits("id", 13, 0.015)} THEN {_pick("id", 6, regions)} END AS region,
-    {_pick("id", 7, methods)} AS payment_method
+    CASE WHEN NOT {_hits("id", 13, 0.015)} THEN {_pick("id", 6, SYNTHETIC_REGIONS)} END AS region,
+    {_pick("id", 7, SYNTHETIC_PAYMENT_METHODS)} AS payment_method
   FROM spread
 ),
 copied AS (
@@ -408,25 +392,8 @@ def _sample(select: str) -> str:
     return _with(_sample_chain(), select)
 
 
-# Documented columns with their types, stages and personal-data flags.
-DICTIONARY = """
-('raw_orders', 'order_id', 'int', 'no', '01_ingest'), ('raw_orders', 'customer_id', 'int', 'no', '01_ingest'),
-('raw_orders', 'customer_email', 'string', 'yes', '01_ingest'), ('raw_orders', 'product_id', 'int', 'no', '01_ingest'),
-('raw_orders', 'product_category', 'string', 'no', '01_ingest'), ('raw_orders', 'quantity', 'int', 'no', '01_ingest'),
-('raw_orders', 'unit_price', 'float', 'no', '01_ingest'), ('raw_orders', 'order_date', 'string', 'no', '01_ingest'),
-('raw_orders', 'region', 'string', 'no', '01_ingest'), ('raw_orders', 'payment_method', 'string', 'no', '01_ingest'),
-('raw_orders', 'total_amount', 'float', 'no', '01_ingest'), ('validated_orders', '*', '*', 'mixed', '02_validate'),
-('dim_customer', 'customer_id', 'int', 'no', '03_transform'),
-('dim_customer', 'lifetime_orders', 'int', 'no', '03_transform'),
-('dim_customer', 'lifetime_spend', 'float', 'no', '03_transform'),
-('dim_product', 'product_id', 'int', 'no', '03_transform'),
-('dim_product', 'avg_unit_price', 'float', 'no', '03_transform'),
-('dim_date', 'order_date', 'string', 'no', '03_transform'), ('fact_orders', 'order_id', 'int', 'no', '03_transform'),
-('fact_orders', 'total_amount', 'float', 'no', '03_transform'),
-('vw_monthly_revenue', 'total_revenue', 'float', 'no', '04_generate_reports'),
-('vw_category_performance', 'revenue', 'float', 'no', '04_generate_reports'),
-('vw_anomalies_amount_mismatch', '*', '*', 'no', '04_generate_reports'),
-('vw_anomalies_high_value_orders', '*', '*', 'no', '04_generate_reports')"""
+# Documented columns with their types, personal-data flags and stages.
+DICTIONARY = ", ".join(f"('{t}', '{c}', '{kind}', '{pii}', '{made}')" for t, c, kind, made, pii in DOCUMENTED)
 
 FACT_COLUMNS = (
     "order_id", "customer_id", "product_id", "order_date", "region", "payment_method", "quantity",
@@ -471,7 +438,47 @@ def _catalog(select: str) -> str:
 def _objects() -> str:
     names = ["validated_orders", "dim_customer", "dim_product", "dim_date", "fact_orders"]
     names += [f"vw_{r}" for r in REPORTS]
-    return _union([f"SELECT '{n}' AS name, count(*) AS rows FROM {n}" for n in names])
+    kind = {n: "view" if n.startswith("vw_") else "table" for n in names}
+    return _union([f"SELECT '{n}' AS name, '{kind[n]}' AS type, count(*) AS rows FROM {n}" for n in names])
+
+
+WHOLE = (
+    "order_id", "customer_id", "product_id", "quantity", "lifetime_orders", "times_ordered", "order_year",
+    "order_month", "order_day", "total_orders", "orders", "units_sold",
+)
+FLOAT = ("unit_price", "total_amount", "lifetime_spend", "avg_unit_price", "total_revenue", "revenue")
+
+
+def _catalog_rows() -> str:
+    """The catalog of all columns, by the stage that makes their table."""
+    made = {"raw_orders": "01_ingest", "validated_orders": "02_validate"}
+    to = {
+        "01_ingest": "staging/staging_orders", "02_validate": "staging/validated_orders",
+        "03_transform": "warehouse", "04_generate_reports": "reports",
+    }
+    rows = []
+    for table, columns in TABLE_COLUMNS.items():
+        stage = made.get(table, "04_generate_reports" if table.startswith("vw_") else "03_transform")
+        for c in columns:
+            kind = "int" if c in WHOLE else "float" if c in FLOAT else "string"
+            pii = "yes" if c == "customer_email" else "no"
+            rows.append(f"('{table}', '{c}', '{kind}', '{pii}', '{stage}', '{to[stage]}')")
+    return f'SELECT * FROM (VALUES {", ".join(rows)}) t("table", "column", data_type, pii, source_stage, target)'
+
+
+def _extra() -> str:
+    scores = f"b AS ({_score('raw_orders')}), a AS ({_score('validated_orders')})"
+    none = "CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT)"
+    return _with(
+        f"{RAW},{VALIDATED}, {scores}",
+        f"""SELECT '02_validate' AS stage, b.quality_score AS quality_score_before, a.quality_score AS quality_score_after,
+  round(a.quality_score - b.quality_score, 2) AS improvement_points, b.later_duplicates AS duplicates_removed,
+  0 AS schema_type_mismatches, CAST(NULL AS INTEGER) AS objects_created, CAST(NULL AS INTEGER) AS files_exported
+FROM a, b
+UNION ALL SELECT '01_ingest', {none}, NULL, NULL, NULL
+UNION ALL SELECT '03_transform', {none}, NULL, {5 + len(REPORTS)}, NULL
+UNION ALL SELECT '04_generate_reports', {none}, NULL, NULL, {1 + len(REPORTS)}""",
+    )
 
 
 ORDER_DAY = (
@@ -552,6 +559,10 @@ FROM (SELECT count(*) AS n FROM raw_orders GROUP BY {ALL})"""
     ),
     "recompute_total_amount": _raw(f"SELECT * REPLACE ({AMOUNT} AS total_amount) FROM raw_orders"),
     "validated_orders": _validated("SELECT * FROM validated_orders"),
+    "validated_orders_text_ids": _validated(
+        "SELECT * REPLACE ('C' || order_id AS order_id, 'K' || customer_id AS customer_id, "
+        "product_id || 'A' AS product_id) FROM validated_orders"
+    ),
     "quality_score_after": _validated(_score("validated_orders")),
     "quality_score_summary": _summary(),
     "data_quality_report": _validated(
@@ -586,6 +597,8 @@ found AS (
   SELECT s.source, f.distance + 1 FROM found f JOIN stages s ON s.target = f.ancestor
 )
 SELECT ancestor, min(distance) AS distance FROM found GROUP BY ancestor""",
+    "lineage_extra": _extra(),
+    "catalog_from_csv": _catalog_rows(),
     "lineage_log_flat": _on_lineage("SELECT * FROM stages"),
     "generated_orders": _generated(),
     "sample_rows": _sample(

@@ -7,46 +7,62 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.fixed_values import STAGE_INGEST, STAGE_REPORTS, STAGE_TRANSFORM, STAGE_VALIDATE
-
-DICTIONARY_SCHEMA = (
-    "table string, column string, data_type string, description string, "
-    "source_stage string, transformation_applied string, pii string"
-)
-
-# The documented columns, their types and their personal-data flags.
-# Column * stands for the whole table; pii is yes, no or mixed.
-_ENTRIES = (
-    ("raw_orders", "order_id", "int", "Order line number", STAGE_INGEST, "none", "no"),
-    ("raw_orders", "customer_id", "int", "Customer number", STAGE_INGEST, "none", "no"),
-    ("raw_orders", "customer_email", "string", "Address the customer is reached at", STAGE_INGEST, "rows without one are dropped", "yes"),
-    ("raw_orders", "product_id", "int", "Product number", STAGE_INGEST, "none", "no"),
-    ("raw_orders", "product_category", "string", "Category name", STAGE_INGEST, "missing becomes Unknown, then trimmed and title-cased", "no"),
-    ("raw_orders", "quantity", "int", "Units on the line", STAGE_INGEST, "rows not above zero are dropped", "no"),
-    ("raw_orders", "unit_price", "float", "Price of one unit", STAGE_INGEST, "missing becomes the product median; rows not above zero are dropped", "no"),
-    ("raw_orders", "order_date", "string", "Day of the order as text, in two formats", STAGE_INGEST, "kept as text; parsed on demand", "no"),
-    ("raw_orders", "region", "string", "Region of the sale", STAGE_INGEST, "missing becomes Unknown", "no"),
-    ("raw_orders", "payment_method", "string", "How the order was paid", STAGE_INGEST, "none", "no"),
-    ("raw_orders", "total_amount", "float", "Amount of the line", STAGE_INGEST, "quantity x unit price, computed again after cleaning", "no"),
-    ("validated_orders", "*", "*", "Order lines that passed cleaning", STAGE_VALIDATE, "filled, without copies, rules applied", "mixed"),
-    ("dim_customer", "customer_id", "int", "Customer number", STAGE_TRANSFORM, "group key", "no"),
-    ("dim_customer", "lifetime_orders", "int", "Distinct orders of the customer", STAGE_TRANSFORM, "count distinct", "no"),
-    ("dim_customer", "lifetime_spend", "float", "Amount spent by the customer", STAGE_TRANSFORM, "sum", "no"),
-    ("dim_product", "product_id", "int", "Product number", STAGE_TRANSFORM, "group key", "no"),
-    ("dim_product", "avg_unit_price", "float", "Mean price of the product", STAGE_TRANSFORM, "average", "no"),
-    ("dim_date", "order_date", "string", "Day of the order as text", STAGE_TRANSFORM, "year, month, day and quarter derived", "no"),
-    ("fact_orders", "order_id", "int", "Order line number", STAGE_TRANSFORM, "none", "no"),
-    ("fact_orders", "total_amount", "float", "Amount of the line", STAGE_TRANSFORM, "none", "no"),
-    ("vw_monthly_revenue", "total_revenue", "float", "Revenue of the month", STAGE_REPORTS, "sum by month", "no"),
-    ("vw_category_performance", "revenue", "float", "Revenue of the category", STAGE_REPORTS, "sum by category", "no"),
-    ("vw_anomalies_amount_mismatch", "*", "*", "Lines whose amount is not quantity x unit price", STAGE_REPORTS, "check", "no"),
-    ("vw_anomalies_high_value_orders", "*", "*", "Lines far above the mean amount", STAGE_REPORTS, "outlier cut", "no"),
-)
+from pyspark.sql import types as T
+
+from orderflow.fixed_values import DOCUMENTED
+
+DICTIONARY_SCHEMA = "table string, column string, data_type string, source_stage string, pii string, description string"
+
+PERSONAL = ("customer_email",)
+
+#: What a column means, wherever it occurs.
+MEANING = {
+    "order_id": "which order a line belongs to",
+    "customer_id": "who bought",
+    "customer_email": "how to write to the buyer; lines without one do not survive cleaning",
+    "product_id": "what was bought",
+    "product_category": "kind of product, spelled alike once cleaned",
+    "quantity": "pieces bought, positive once cleaned",
+    "unit_price": "price a piece, imputed where it was missing",
+    "order_date": "day of purchase in the spelling it came in",
+    "region": "where it was sold, Unknown where that was missing",
+    "payment_method": "means of payment",
+    "total_amount": "pieces times price, in two decimals",
+    "lifetime_orders": "different orders of a buyer at one address",
+    "lifetime_spend": "all amounts of a buyer at one address",
+    "avg_unit_price": "mean price over the lines of a product",
+    "times_ordered": "lines of a product",
+    "order_year": "year of an ISO date",
+    "order_month": "month of an ISO date",
+    "order_day": "day of the month of an ISO date",
+    "order_quarter": "quarter of the month; Q4 for other dates",
+    "total_revenue": "amounts of a month",
+    "total_orders": "different orders of a month",
+    "orders": "lines of the group",
+    "units_sold": "pieces of the group",
+    "revenue": "amounts of the group",
+}
+
+
+def _type_name(kind: T.DataType) -> str:
+    whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    return "int" if whole else "float" if isinstance(kind, (T.DoubleType, T.FloatType)) else kind.simpleString()
+
+
+def column_catalog(spark: SparkSession, held: Mapping[str, Mapping[str, DataFrame]]) -> DataFrame:
+    """Every column of the tables of each stage, as their schemas have it."""
+    rows = [
+        (table, f.name, _type_name(f.dataType), made_by, "yes" if f.name in PERSONAL else "no", MEANING.get(f.name, ""))
+        for made_by, tables in held.items()
+        for table, df in tables.items()
+        for f in df.schema
+    ]
+    return spark.createDataFrame(rows, DICTIONARY_SCHEMA)
 
 
 def data_dictionary(spark: SparkSession) -> DataFrame:
-    """The catalog of this warehouse."""
-    return spark.createDataFrame(_ENTRIES, DICTIONARY_SCHEMA)
+    """The documented columns that a given catalog lists."""
+    return spark.createDataFrame(DOCUMENTED, "table string, column string, data_type string, source_stage string, pii string")
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:

@@ -35,9 +35,9 @@ from orderflow.operators.schema import (
     with_order_types,
 )
 from orderflow.operators.validation import profile_and_clean
-from orderflow.plans.governance import data_dictionary, read_dictionary
+from orderflow.plans.governance import column_catalog, read_dictionary
 from orderflow.plans.lineage import log_stage, new_run_id
-from orderflow.plans.reports import export_reports
+from orderflow.plans.reports import REPORTS, export_reports
 from orderflow.plans.warehouse import (
     TABLES,
     build_warehouse,
@@ -69,6 +69,7 @@ class Pipeline:
     column_map: Mapping[str, str] = field(default_factory=dict)
     valid_categories: Iterable[str] = VALID_CATEGORIES
     email_mode: str = "literal"
+    multi_line: bool | None = None  # whether CSV fields may hold newlines; None finds out by a scan
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -110,7 +111,7 @@ class Pipeline:
             source = self.path(RAW)
         elif isinstance(source, str):
             source_name = source
-        raw = read_csv(self.spark, source) if isinstance(source, str) else nan_to_null(source)
+        raw = read_csv(self.spark, source, self.multi_line) if isinstance(source, str) else nan_to_null(source)
         orders = standardize_columns(raw, self.column_map)
         rows = write_counted(
             orders, lambda d: d.write.mode("overwrite").parquet(self.path(STAGING))
@@ -168,7 +169,7 @@ class Pipeline:
         orders = self.read(VALIDATED)
         rows = build_warehouse(orders, self.path(WAREHOUSE))
         register_warehouse(orders, self.tables())
-        write_csv(data_dictionary(self.spark), self.path(DICTIONARY))
+        write_csv(column_catalog(self.spark, self._held(orders)), self.path(DICTIONARY))
         self._log(
             STAGE_TRANSFORM,
             VALIDATED,
@@ -180,6 +181,16 @@ class Pipeline:
             extra={"objects_created": object_names()},
         )
 
+    def _held(self, orders: DataFrame) -> dict[str, dict[str, DataFrame]]:
+        """Every table and view of the run by the stage that makes it."""
+        star = self.tables()
+        return {
+            STAGE_INGEST: {"raw_orders": self.read(STAGING)},
+            STAGE_VALIDATE: {"validated_orders": orders},
+            STAGE_TRANSFORM: star,
+            STAGE_REPORTS: {f"vw_{name}": build(star) for name, build in REPORTS.items()},
+        }
+
     def tables(self) -> dict[str, DataFrame]:
         return read_warehouse(self.spark, self.path(WAREHOUSE))
 

@@ -115,6 +115,7 @@ def object_names() -> list[str]:
 
 
 def warehouse_objects(spark: SparkSession) -> DataFrame:
-    """(name) of the warehouse tables and views registered in the session."""
-    listed = spark.sql("SHOW TABLES").select(F.col("tableName").alias("name"))
-    return listed.where(F.col("name").isin(object_names())).distinct()
+    """(name, type) of every table and view registered in the session, foreign ones included."""
+    views = [f"vw_{name}" for name in REPORTS]
+    listed = spark.sql("SHOW TABLES").select(F.col("tableName").alias("name")).distinct()
+    return listed.withColumn("type", F.when(F.col("name").isin(views), "view").otherwise("table"))

@@ -193,6 +193,43 @@ def warehouse_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warehouse.warehouse_objects(spark).join(rows, "name")
 
 
+def validated_text_ids(orders: DataFrame) -> DataFrame:
+    """The cleaning chain over ids that are text."""
+    return clean.clean(
+        orders.withColumns(
+            {
+                "order_id": F.concat(F.lit("C"), "order_id"),
+                "customer_id": F.concat(F.lit("K"), "customer_id"),
+                "product_id": F.concat("product_id", F.lit("A")),
+            }
+        )
+    )
+
+
+def lineage_extra(log: DataFrame) -> DataFrame:
+    """What each stage noted about itself."""
+    noted = F.from_json(
+        "extra",
+        "quality_score_before double, quality_score_after double, improvement_points double, "
+        "duplicates_removed bigint, schema_type_mismatches array<string>, objects_created array<string>, "
+        "files_exported array<string>",
+    )
+    scores = ("quality_score_before", "quality_score_after", "improvement_points", "duplicates_removed")
+    lists = ("schema_type_mismatches", "objects_created", "files_exported")
+    return log.select("stage", noted.alias("e")).select(
+        "stage",
+        *[F.col(f"e.{name}") for name in scores],
+        *[F.when(F.col(f"e.{name}").isNotNull(), F.size(f"e.{name}")).alias(name) for name in lists],
+    )
+
+
+def catalog_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog that a run left as CSV, with the table each column's stage wrote to."""
+    run = finished_run(spark, sf_dir)
+    made = run.lineage().select(F.col("stage").alias("source_stage"), "target")
+    return run.dictionary().join(made, "source_stage").select("table", "column", "data_type", "pii", "source_stage", "target")
+
+
 def lineage_log(log: DataFrame) -> DataFrame:
     return log.select("stage", "source", "target", "rows_in", "rows_out", "rows_dropped")
 
@@ -265,6 +302,7 @@ QUERIES: dict[str, Query] = {
     "invalid_email_to_null": on_raw(clean.invalid_email_to_null),
     "recompute_total_amount": on_raw(clean.recompute_total_amount),
     "validated_orders": on_raw(clean.clean),
+    "validated_orders_text_ids": on_raw(validated_text_ids),
     "quality_score_after": on_validated(
         lambda o: profile.quality_score(profile.row_profile(o, rules()))
     ),
@@ -283,6 +321,8 @@ QUERIES: dict[str, Query] = {
     "lineage_edges": on_lineage(lambda log: lineage.lineage_edges(log).drop("last_run")),
     "lineage_upstream": on_lineage(lambda log: lineage.lineage_upstream(log, "reports")),
     "lineage_log_flat": lineage_log_flat,
+    "lineage_extra": on_lineage(lineage_extra),
+    "catalog_from_csv": catalog_from_csv,
     "generated_orders": generated_orders,
     "sample_rows": on_raw(lambda o: sampling.sample_rows(o, SAMPLE_KEYS, 150)),
     "sample_fraction": on_raw(lambda o: sampling.sample_fraction(o, SAMPLE_KEYS, 0.04)),

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderflow.functions.text import null_if_na
 
@@ -26,15 +27,37 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) ->
     """
     if multi_line is None:
         multi_line = has_quoted_newlines(spark, path)
-    text = (
+    reader = (
         spark.read.option("header", True)
         .option("escape", '"')
         .option("multiLine", multi_line)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
     )
-    return text.select([null_if_na(F.col(f"`{c}`")).alias(c) for c in text.columns])
+    names = reader.csv(path).columns
+    if not names:
+        return reader.csv(path)
+    return _whole_records(reader, path, names).select([null_if_na(F.col(f"`{c}`")).alias(c) for c in names])
+
+
+def _whole_records(reader: DataFrameReader, path: str, names: list[str]) -> DataFrame:
+    """The records as text columns; one with more fields than the header stops the query.
+
+    Spark marks records whose length is not the header's. Only those are parsed once more, with a
+    column for a field beyond the header. Shorter ones end in nulls.
+    """
+    mark = "_odd_record"
+    while mark in (n.lower() for n in names):
+        mark = f"_{mark}"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, mark]])
+    text = (
+        reader.schema(schema).option("columnNameOfCorruptRecord", mark).option("columnPruning", False).csv(path)
+    )
+    places = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    beyond = F.from_csv(F.col(mark), places, {"escape": '"', "multiLine": "true"})[f"c{len(names)}"].isNotNull()
+    message = F.concat(F.lit("a record has more fields than the header: "), F.col(mark), F.coalesce(F.left(F.col(f"`{names[0]}`"), F.lit(0)), F.lit("")))
+    stop = F.when(F.col(mark).isNotNull() & beyond, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return text.where(stop)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -40,6 +40,17 @@ def test_missing_value_tokens_and_blank_lines(spark, tmp_path):
     assert rows(out) == sorted([("1", None), ("2", None), ("3", "none"), (None, None)], key=repr)
 
 
+def test_a_record_longer_than_the_header_stops_the_read(spark, tmp_path):
+    file = tmp_path / "long.csv"
+    file.write_text('a,b\n1,2\n3\n"x, y","say ""hi"""\n')
+    out = csv_files.read_csv(spark, str(file))
+    assert rows(out) == sorted([("1", "2"), ("3", None), ("x, y", 'say "hi"')], key=repr) and out.count() == 3
+    file = tmp_path / "longer.csv"
+    file.write_text("a,b\n1,2\n1,2,3\n")
+    with pytest.raises(Exception, match="more fields than the header"):
+        csv_files.read_csv(spark, str(file)).collect()
+
+
 def test_written_rows_are_counted(spark):
     path = shared_folder.new_folder(spark, "counted")
     df = spark.range(1000).repartition(5)
