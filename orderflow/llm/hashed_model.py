@@ -1,13 +1,14 @@
 """Linear scorers and factorization machines over hashed sparse features, trained by Spark.
 
 A row's features are indices below ``2 ** bits`` with values log(1 + count), scaled to length 1 or
-weighted by how surely an index goes with the label in the training rows. The training rows, a bounded sample, are written once. Every epoch is one job: each partition goes
+weighted by how surely an index goes with the label in the training rows, alone or beside another one. The training rows, a bounded sample, are written once. Every epoch is one job: each partition goes
 over its rows in small batches (AdaGrad on the logistic loss, soft labels allowed), and the driver
 averages the partitions' parameters by their rows. A model has a fixed size whatever the corpus.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,9 @@ Features = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
 TRAIN_ROWS = 20_000
 PARTITIONS = 6
 
+PAIR_BLOCK = 1 << 21  # pairs that are held at a time
+PAIR_NATS = 20.0  # a pair this sure by chance: 2 in 10^9
+
 
 @dataclass
 class Model:
@@ -122,6 +126,82 @@ def evidence(rows: DataFrame, bits: int) -> np.ndarray:
     return np.where(held >= 4, np.clip((sure - 3) / 5, 0, 1), 0.0)
 
 
+def _sure(ones: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Whether sums of labels lie further from what is expected than chance brings about among all pairs.
+
+    By Chernoff's bound; the expectation is kept from nothing, so a few rows are never sure.
+    """
+    expected = np.maximum(expected, 0.05)
+    return ones * np.log(np.maximum(ones, 1e-9) / expected) - ones + expected >= PAIR_NATS
+
+
+def _packed(index: np.ndarray) -> bytes:
+    """Sorted indices as their steps, byte by byte of all of them, so that they take little room."""
+    return zlib.compress(np.diff(index, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view("<u4").ravel(), dtype=np.int32)
+
+
+def pair_evidence(rows: DataFrame, bits: int, alone: Model) -> np.ndarray:
+    """1 for each index that with another one goes with a label beyond what ``alone`` makes of the rows, else 0.
+
+    ``alone`` is a linear scorer of the rows. Each task gets the indices of all training rows and counts
+    the pairs whose lower index is its own, all of them but those of an index that is too rare for any sure pair.
+    """
+    model = rows.sparkSession.sparkContext.broadcast(alone)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("at")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(at.offsets.to_numpy()))
+            x = batch.column("x").flatten().to_numpy().astype(np.float64)
+            scores = model.value.scores(Sparse(batch.num_rows, row, at.flatten().to_numpy(), x))
+            packed = [_packed(np.asarray(own)) for own in np.split(at.flatten().to_numpy(), at.offsets.to_numpy()[1:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column("label"), pa.array(scores)], ["at", "label", "score"])
+
+    def members(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        label, score = table.column("label").to_numpy(), table.column("score").to_numpy()
+        each = [_unpacked(x.as_py()) for x in table.column("at")]
+        index, row = np.concatenate(each), np.repeat(np.arange(len(label), dtype=np.int32), [len(x) for x in each])
+        able = _sure(np.bincount(index, label[row], 1 << bits), np.zeros(1)) | (np.bincount(index, score[row], 1 << bits) >= PAIR_NATS)
+        names = np.flatnonzero(able)
+        used = able[index]
+        index, row = (np.cumsum(able, dtype=np.int32) - 1)[index[used]], row[used]
+        ends = np.searchsorted(row, np.arange(len(label)), side="right")
+        order = np.argsort(index, kind="stable").astype(np.int32)
+        opens = np.searchsorted(index[order], np.arange(len(names) + 1))
+
+        def sums(places: np.ndarray, weights: np.ndarray) -> np.ndarray:
+            """By higher index, the weights of the rows that hold it after these places."""
+            total, sizes = np.zeros(len(names)), ends[row[places]] - places - 1
+            cuts = np.searchsorted(np.cumsum(sizes), np.arange(PAIR_BLOCK, sizes.sum(), PAIR_BLOCK))
+            for own, n in zip(np.split(places, cuts), np.split(sizes, cuts)):
+                flat = np.arange(n.sum()) + np.repeat(own + 1 - np.cumsum(n) + n, n)
+                total += np.bincount(index[flat], np.repeat(weights[row[own]], n), len(names))
+            return total
+
+        found = np.zeros(len(names), dtype=bool)
+        for low in range(part, len(names), PARTITIONS):
+            places = order[opens[low] : opens[low + 1]].astype(np.int64)
+            both = _sure(sums(places[label[row[places]] > 0], label), sums(places, score))
+            found |= both
+            found[low] |= both.any()
+        return pa.table({"at": pa.array(names[found], pa.int64())})
+
+    dealt = rows.mapInArrow(scored, "at binary, label double, score double").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.lit(PARTITIONS - 1)))
+    )
+    found = dealt.repartitionByRange(PARTITIONS, "part").groupBy("part").applyInArrow(members, "at bigint").distinct().toArrow()
+    paired = np.zeros(1 << bits)
+    paired[found.column("at").to_numpy()] = 1
+    model.unpersist()
+    return paired
+
+
 class _Learner:
     """One partition's pass of an epoch."""
 
@@ -155,10 +235,14 @@ class _Learner:
 def train(
     rows: DataFrame, bits: int, factors: int, epochs: int, weigh: bool, balance: bool, rate: float = 0.5, decay: float = 1e-5, batch_rows: int = 32
 ) -> Model:
-    """A model of ``rows`` as training_rows() writes them; ``weigh`` scales indices by evidence(), ``balance`` rows so that both labels weigh the same."""
+    """A model of ``rows`` as training_rows() writes them; ``weigh`` scales indices by evidence() and, with factors, pair_evidence(), ``balance`` rows so that both labels weigh the same."""
     size = 1 << bits
     start = np.random.default_rng(17).normal(0, 0.01, (size, factors))
-    model = Model(0.0, np.zeros(size), start, evidence(rows, bits) if weigh else np.ones(size))
+    scale = evidence(rows, bits) if weigh else np.ones(size)
+    if weigh and factors:
+        alone = train(rows, bits, 0, epochs, weigh, balance=False, rate=rate, decay=decay, batch_rows=batch_rows)
+        scale = np.maximum(scale, pair_evidence(rows, bits, alone))
+    model = Model(0.0, np.zeros(size), start, scale)
     past = (1e-3, np.full(size, 1e-6), np.full((size, factors), 1e-6))
     total, ones = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not total:

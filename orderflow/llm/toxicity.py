@@ -2,7 +2,7 @@
 
 Terms are the lower-cased words of the whole text and their first five bytes, hashed; beside a weight
 for each term the machine learns a vector, so pairs of terms that are harmless apart can weigh
-together. It learns from a bounded sample (``hashed_model.TRAIN_ROWS``) of the labelled rows outside the
+together. A term counts if it goes with the label alone or in a pair, over all pairs of the sample. It learns from a bounded sample (``hashed_model.TRAIN_ROWS``) of the labelled rows outside the
 held-out fold. Language, source and ids are no inputs of a score.
 
 Null and empty texts have no terms and get the score of the bias alone. Null labels are no labels; of

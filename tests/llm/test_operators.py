@@ -344,6 +344,22 @@ def test_factors_learn_a_pair_that_weights_miss(spark):
     assert right[4] == 4 and right[0] < 4
 
 
+def test_toxicity_of_pairs_without_evidence_apart(spark):
+    """Insults and groups are as often toxic as any text; only both in one text are always."""
+    importable(spark)
+    rnd, rows = random.Random(7), []
+    for i in range(6000):
+        draw, words = rnd.random(), [f"w{rnd.randrange(300)}" for _ in range(20)]
+        insult, group, slur = draw < 0.3, draw < 0.09 or 0.3 <= draw < 0.51, 0.51 <= draw < 0.72
+        words += [f"{rnd.randrange(6)}insult"] * insult + [f"{rnd.randrange(6)}group"] * group + ["slur"] * slur
+        rnd.shuffle(words)
+        rows.append((i, " ".join(words), int(insult and group or slur), 2 * insult + group))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int, kind int")
+    got = toxicity.toxicity(docs, docs.select("doc_id", "toxic")).join(docs, "doc_id").where("held_out").collect()
+    shares = [np.mean([r.predicted for r in got if r.kind == k and (k or not r.toxic)]) for k in range(4)]
+    assert shares[3] > 0.75 and max(shares[:3]) < 0.05
+
+
 def test_weak_labels(spark, odd, empty):
     sf = "/root/testdata/sf0.1"
     docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
