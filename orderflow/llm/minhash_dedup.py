@@ -57,7 +57,7 @@ def shingle_sets(batch: pa.RecordBatch, words_each: int) -> list[np.ndarray]:
     words = words_of(texts)
     hashes = word_hashes(texts, words, lower=True)
     rolled = hashes.copy()
-    for j in range(1, words_each):
+    for j in range(1, min(words_each, len(hashes))):
         rolled[: len(rolled) - j] = mix(rolled[: len(rolled) - j]) + hashes[j:]
     rolled = mix(rolled)
     sets = []

@@ -226,6 +226,20 @@ def test_near_duplicates_of_odd_rows(spark, odd, empty):
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 7, 9, 10]
 
 
+def test_shingles_of_chunks_shorter_than_a_shingle():
+    """Each text alone in its chunk gives the set that it gives among others."""
+    texts = [None, "", "a", "a b", "a b c", "a b c d", "a b c d e", "a b c d e f g"]
+    together = minhash_dedup.shingle_sets(pa.RecordBatch.from_pydict({"text": texts}), 5)
+    for text, want in zip(texts, together):
+        (got,) = minhash_dedup.shingle_sets(pa.RecordBatch.from_pydict({"text": pa.array([text], pa.string())}), 5)
+        assert got.tolist() == want.tolist()
+
+
+def test_near_duplicates_of_odd_rows_with_five_words(spark, odd):
+    rows = minhash_dedup.near_duplicates(odd.unionByName(odd.where("doc_id = 7").withColumns({"doc_id": F.lit(11), "text": F.lit("two words")})).repartition(13)).collect()
+    assert len(rows) == 13 and {r.doc_id: r.component_id for r in rows}[2] == 1
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(1, 300).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b")).unionByName(
         spark.createDataFrame([(500, 500), (600, 601)], "a bigint, b bigint")
