@@ -92,9 +92,38 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM p JOIN f USING (h, n)
 """
 
+#: One round of clustering: every vector to the nearest centroid of ``c{k}``, then their means.
+_NEAREST = """
+a{k} AS MATERIALIZED (
+  SELECT r, c, s FROM (
+    SELECT p.r, c.c, CAST(sum((p.x - c.x) * (p.x - c.x)) AS BIGINT) AS s FROM p JOIN c{k} c USING (d) GROUP BY p.r, c.c)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY s, c) = 1)"""
+_MEANS = """
+c{next} AS MATERIALIZED (
+  SELECT c.c, c.d, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN (
+    SELECT c, d, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS x
+    FROM (SELECT a.c, p.d, CAST(sum(p.x) AS BIGINT) AS s, count(*) AS n FROM a{k} a JOIN p USING (r) GROUP BY a.c, p.d)) m USING (c, d))"""
+_ROUNDS = ",".join(_NEAREST.format(k=k) + ("," + _MEANS.format(k=k, next=k + 1) if k < 3 else "") for k in range(4))
+
+OP11 = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS MATERIALIZED (SELECT r, unnest(range(64)) AS d, unnest(v) AS x FROM v),
+c0 AS MATERIALIZED (
+  SELECT c, unnest(range(64)) AS d, unnest(v) AS x FROM (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM v QUALIFY c < 16)),
+{_ROUNDS},
+h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c3 GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, s AS distance, CAST(sum(s) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(s) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a3 JOIN v USING (r) JOIN h USING (c)
+"""
+
 ORACLE = {
     "op2_embedding_dedup": OP2,
     "op5_warc": OP5,
     "op7_quality_rules": OP7,
     "op8_minhash": OP8,
+    "op11_centroids": OP11,
 }

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from orderflow.llm.alignment import aligned_documents
+from orderflow.llm.clustering import cluster
 from orderflow.llm.embedding_dedup import near_vectors
 from orderflow.llm.minhash_dedup import near_duplicates
 from orderflow.llm.mixing import mixed_documents
+from orderflow.llm.neighbours import neighbours
 from orderflow.llm.packing import pack
 from orderflow.llm.quality_classifier import quality
 from orderflow.llm.quality_rules import quality_rules
@@ -62,6 +66,18 @@ def op10_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_shards(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=2)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"), clusters=16, rounds=3, size=64, scale=64, seed=1).drop("measured_share")
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings"), asks=F.col("vec_id") % 100 == 0, k=10)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_kd_shards": op1_kd_shards,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -73,4 +89,7 @@ QUERIES: dict[str, Query] = {
     "op8_minhash": op8_minhash,
     "op9_mixing": op9_mixing,
     "op10_wavelet": op10_wavelet,
+    "op11_centroids": op11_centroids,
+    "op12_neighbours": op12_neighbours,
+    "op13_alignment": op13_alignment,
 }
