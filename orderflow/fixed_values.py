@@ -71,6 +71,32 @@ STAGE_VALIDATE = "02_validate"
 STAGE_TRANSFORM = "03_transform"
 STAGE_REPORTS = "04_generate_reports"
 
+# Fixed values of a lineage record: its fields and their types.
+LINEAGE_FIELDS = (
+    ("run_id", "string"),
+    ("stage", "string"),
+    ("timestamp", "timestamp"),
+    ("source", "string"),
+    ("target", "string"),
+    ("rows_in", "bigint"),
+    ("rows_out", "bigint"),
+    ("rows_dropped", "bigint"),
+    ("columns", "array<string>"),
+    ("transformation", "string"),
+    ("extra", "string"),
+)
+
+# Fixed values of a column catalog kept as CSV: its headers.
+CATALOG_HEADERS = (
+    "table",
+    "column",
+    "data_type",
+    "description",
+    "source_stage",
+    "transformation_applied",
+    "pii",
+)
+
 # Value lists and rates of the synthetic order generator.
 SYNTHETIC_CATEGORIES = (
     "Electronics",

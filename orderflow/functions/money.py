@@ -2,7 +2,7 @@
 
 Amounts are DOUBLE at the edges. Inside, prices of up to 4 decimals are whole units of 1/10,000, which
 add up exactly in any order of partitions without the text round trip of a cast per row; finer
-prices are DECIMAL(28,10). Values beyond these, infinities and NaN go on in DOUBLE arithmetic.
+prices are DECIMAL(28,10) where that cut does not change the amount. Values beyond these, infinities and NaN go on in DOUBLE arithmetic.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ _UNIT_PRICE = 1e8
 _UNIT_QUANTITY = 1e5
 _EXACT_AMOUNT = 1e14
 
+# An amount may change by less than this when its price is cut to 10 decimals: float noise only.
+_CUT = 1e-6
+
 
 def _price_units(value: Column) -> Column:
     return F.rint(value * 10000).try_cast("bigint")
@@ -30,8 +33,10 @@ def _in_units(quantity: Column, price: Column) -> Column:
 
 
 def _exact_product(quantity: Column, price: Column) -> Column:
-    """DECIMAL product of a price of up to 10 decimals; null if either is out of range."""
-    return quantity.try_cast("decimal(10,0)") * price.try_cast("decimal(28,10)")
+    """DECIMAL product of a price cut to 10 decimals; null where the cut would count, and out of range."""
+    units = price.try_cast("decimal(28,10)")
+    lost = F.abs((units.cast("double") - price) * quantity)
+    return quantity.try_cast("decimal(10,0)") * F.when(lost < _CUT, units)
 
 
 def _float_product(quantity: Column, price: Column) -> Column:

@@ -26,7 +26,6 @@ _INFINITE = 1 << 40
 
 # A refinement cuts the range that is left into this many parts.
 _PARTS = 1 << 16
-_REFINEMENTS = 2
 
 
 def value_bucket(value: Column) -> Column:
@@ -83,20 +82,26 @@ def median_of_counts(counts: DataFrame, keys: Sequence[str], value: str, weight:
     """(keys, median): the middle value, or the mean of the middle two.
 
     ``counts`` gives the number of times a value occurs; a (keys, value) may come several times,
-    null values do not count. It is read once per step, so it should be cheap to scan again. A step
-    writes a row per group that is still open; the steps end when no group is.
+    null values do not count. It is read once per step, so it should be cheap to scan again. Two steps
+    are one plan, whose first exchange serves both, and write a row per group; only a group whose middle still
+    lies among many values is looked at again.
     """
     known = counts.where(F.col(value).isNotNull()).select(
         *([F.col(k) for k in keys] or [F.lit(0).alias("_all")]), F.col(value).alias("_value"), F.col(weight).alias("_n")
     )
     by = list(keys) or ["_all"]
+    exact = F.col("_value")
+
+    def within(middle: DataFrame) -> DataFrame:
+        return known.join(middle.where("NOT _settled").drop("_settled"), by).where("_value BETWEEN _least AND _most")
+
     part, found = known, []
-    for bucket in (value_bucket(F.col("_value")), *[_part(F.col("_value"))] * _REFINEMENTS, F.col("_value")):
-        middle = stage(_middle(part, by, bucket), "middles")
-        found.append(middle.where("_settled"))
-        left = middle.where("NOT _settled").drop("_settled")
-        if left.isEmpty():
+    for coarse, fine in ((value_bucket(exact), _part(exact)), (_part(exact), exact)):
+        first = _middle(part, by, coarse)
+        both = stage(first.where("_settled").unionByName(_middle(within(first), by, fine)), "middles")
+        found.append(both.where("_settled"))
+        if both.where("NOT _settled").isEmpty():
             break
-        part = known.join(left, by).where("_value BETWEEN _least AND _most")
+        part = within(both)
     medians = reduce(DataFrame.unionByName, found)
     return medians.select(*keys, ((F.col("_least") + F.col("_most")) / 2).alias("median"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderflow.fixed_values import EXPECTED_TYPES
 from orderflow.functions.text import header_name
+from orderflow.sources.counted import TOTALS
 
 _SPARK_TYPE = {"int64": T.LongType(), "float64": T.DoubleType(), "object": T.StringType()}
 
@@ -121,6 +122,11 @@ def schema_report(df: DataFrame, expected: Mapping[str, str] = EXPECTED_TYPES) -
     return report
 
 
+def _plain_number(text: Column) -> Column:
+    """DOUBLE of text that is a number as files write it; a cast alone would read ``3d`` as 3."""
+    return F.when(text.rlike(_NUMBER_TEXT), text.try_cast("double"))
+
+
 def _whole_number(text: Column) -> Column:
     """BIGINT of text such as 2, 2.0 or 2e3; null for a fraction."""
     number = text.try_cast("decimal(38,10)")
@@ -128,20 +134,6 @@ def _whole_number(text: Column) -> Column:
     return F.coalesce(text.try_cast("bigint"), whole)
 
 
-def fractional_columns(df: DataFrame, columns: Iterable[str]) -> list[str]:
-    """The text columns among those given in which some number is not whole."""
-    text = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
-    if not text:
-        return []
-    found = df.agg(
-        *[
-            F.bool_or(F.col(c).try_cast("double").isNotNull() & _whole_number(F.col(c)).isNull()).alias(c)
-            for c in text
-        ]
-    ).first()
-    return [c for c in text if found[c]]
-
-
 #: Columns that name things: they keep whatever text they hold.
 ID_COLUMNS = ("order_id", "customer_id", "product_id")
 
@@ -155,22 +147,77 @@ def text_ids(mismatches: Iterable[Mapping[str, str]]) -> list[str]:
     return [m["column"] for m in mismatches if m["column"] in ID_COLUMNS and m["actual"] == "object"]
 
 
-def require_numbers(df: DataFrame, mismatches: Iterable[Mapping[str, str]]) -> None:
+def cell_findings(df: DataFrame, expected: Mapping[str, str] = EXPECTED_TYPES) -> dict[str, tuple[str, Column]]:
+    """What each row adds to the findings: the kind of each cell, unreadable numbers, fractions.
+
+    The names are ``kind:``, ``unread:`` or ``fraction:`` and a column; with each goes how rows are put together.
+    """
+    cells = {}
+    for field in df.schema:
+        wanted = expected.get(field.name)
+        if wanted is None:
+            continue
+        text = F.col(field.name)
+        cells[f"kind:{field.name}"] = ("bits", _cell_kind(field))
+        if wanted == "object" or not isinstance(field.dataType, T.StringType):
+            continue
+        number = _plain_number(text)
+        if field.name not in ID_COLUMNS:
+            cells[f"unread:{field.name}"] = ("sum", F.when(text.isNotNull() & number.isNull(), 1).otherwise(0))
+        if wanted == "int64":
+            cells[f"fraction:{field.name}"] = ("sum", F.when(number.isNotNull() & _whole_number(text).isNull(), 1).otherwise(0))
+    return cells
+
+
+def findings(df: DataFrame, expected: Mapping[str, str] = EXPECTED_TYPES) -> dict[str, int | None]:
+    """The findings of a table, by one scan."""
+    cells = cell_findings(df, expected)
+    named = df.select([cell.alias(name) for name, (_, cell) in cells.items()])
+    return named.agg(*[TOTALS[kind](F.col(f"`{name}`")).alias(name) for name, (kind, _) in cells.items()]).first().asDict()
+
+
+def found_types(spark: SparkSession, found: Mapping[str, int | None], expected: Mapping[str, str] = EXPECTED_TYPES) -> DataFrame:
+    """(column, expected, actual): the schema report of a table by its findings."""
+    rows = [(c, t, f"kind:{c}" in found, found.get(f"kind:{c}")) for c, t in expected.items()]
+    report = spark.createDataFrame(rows, "column string, expected string, present boolean, kinds int")
+    actual = F.when(F.col("present"), _type_of(F.col("kinds"))).otherwise("missing").alias("actual")
+    return report.select("column", "expected", actual).where("expected != actual")
+
+
+def require_numbers(found: Mapping[str, int | None]) -> None:
     """Stop, naming columns and counts, where numbers are expected and some text is none."""
-    doubtful = [
-        m["column"] for m in mismatches
-        if m["expected"] != "object" and m["actual"] in ("object", "bool") and m["column"] not in ID_COLUMNS
-    ]
-    if not doubtful:
-        return
-    counts = df.agg(
-        *[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(c) for c in doubtful]
-    ).first()
-    unread = {c: counts[c] for c in doubtful if counts[c]}
+    unread = {name.removeprefix("unread:"): n for name, n in found.items() if name.startswith("unread:") and n}
     if unread:
         raise UnreadableValues(f"values that are no numbers, by column: {unread}")
 
 
+def fractional_columns(found: Mapping[str, int | None], mismatches: Iterable[Mapping[str, str]]) -> list[str]:
+    """The text columns in which some number is not whole although whole ones are expected."""
+    float_instead = [m["column"] for m in mismatches if (m["expected"], m["actual"]) == ("int64", "float64")]
+    return [c for c in float_instead if found.get(f"fraction:{c}")]
+
+
+def column_states(tables: Mapping[str, DataFrame], expected: Mapping[str, str] = EXPECTED_TYPES) -> DataFrame:
+    """(table, column, state, rows): each expected column present or missing, others unexpected."""
+    found = None
+    for name, df in tables.items():
+        states = [(c, "present" if c in df.columns else "missing") for c in expected]
+        states += [(c, "unexpected") for c in df.columns if c not in expected]
+        listed = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(state).alias("state")) for c, state in states])
+        one = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), F.inline(listed), "rows")
+        found = one if found is None else found.unionByName(one)
+    return found.select("table", "column", "state", "rows")
+
+
+def with_required_columns(df: DataFrame, expected: Mapping[str, str] = EXPECTED_TYPES) -> DataFrame:
+    """``df`` whose own job stops, with the names, when a required column is absent."""
+    missing = missing_columns(df, expected)
+    if not missing:
+        return df
+    message = f"the orders lack the columns {missing}; they have {df.columns}"
+    return df.where(F.raise_error(F.concat(F.lit(message), F.left(F.col(f"`{df.columns[0]}`").cast("string"), F.lit(0)))).cast("boolean"))
+
+
 def with_order_types(
     df: DataFrame, as_double: Iterable[str] = (), as_text: Iterable[str] = ()
 ) -> DataFrame:
@@ -187,9 +234,11 @@ def with_order_types(
         if actual == field.dataType or field.name in kept:
             continue
         if field.name in fractions:
-            typed[field.name] = column.try_cast("double")
+            typed[field.name] = _plain_number(column)
         elif isinstance(actual, T.StringType) and isinstance(field.dataType, T.LongType):
             typed[field.name] = _whole_number(column)
+        elif isinstance(actual, T.StringType) and isinstance(field.dataType, T.DoubleType):
+            typed[field.name] = _plain_number(column)
         else:
             typed[field.name] = column.try_cast(field.dataType)
     return df.withColumns(typed) if typed else df

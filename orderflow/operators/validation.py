@@ -11,12 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from orderflow.operators.clean import (
     PriceFills,
-    clean,
     drop_null_email,
     fill_unknown,
     finish,
@@ -24,22 +23,16 @@ from orderflow.operators.clean import (
     price_counts,
     price_fills,
 )
+from orderflow.operators.names import free_prefix
 from orderflow.operators.profile import row_counts, row_profile, totals
 from orderflow.sources.shared_folder import stage
+from orderflow.sources.versions import publish
 
 # Columns the fills write to; a mark has one bit per column.
 FILLED = ("product_category", "region", "unit_price")
 _MARKS = range(1 << len(FILLED))
 
 
-def _free_prefix(columns: list[str]) -> str:
-    """A prefix that no column starts with, so helper columns never meet an input column."""
-    prefix = "_of_"
-    while any(c.lower().startswith(prefix) for c in columns):
-        prefix = f"_{prefix}"
-    return prefix
-
-
 def _marked_rows(df: DataFrame, fills: PriceFills, own: str) -> DataFrame:
     """Distinct filled rows per mark: filled values, raw values, copies; helpers are named ``own...``.
 
@@ -63,6 +56,26 @@ def _marked_rows(df: DataFrame, fills: PriceFills, own: str) -> DataFrame:
     return numbered.withColumns(raw | {f"{own}copies": F.col(f"{own}variant.n")}).drop(f"{own}variant")
 
 
+def _lone_rows(df: DataFrame, fills: PriceFills, own: str) -> DataFrame:
+    """The same for rows without a product, whose price is filled even if they have one.
+
+    Raw rows are counted first, a group of copies before its shuffle. So only different raw rows,
+    which may differ in the price that is overwritten, are then numbered by filled row.
+    """
+    columns = df.columns
+    copies = df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias(f"{own}copies"))
+    raw = copies.withColumns({f"{own}raw_{c}": F.col(c) for c in FILLED})
+    filled = raw.transform(fill_unknown).transform(impute_unit_price, fills)
+    same = Window.partitionBy(*[F.col(f"`{c}`") for c in columns]).orderBy(*[f"{own}raw_{c}" for c in FILLED])
+    return filled.withColumn(f"{own}nth", F.row_number().over(same) - 1)
+
+
+def _distinct_rows(df: DataFrame, fills: PriceFills, own: str) -> DataFrame:
+    """All rows as ``_marked_rows`` has them; the few without a product are read apart."""
+    marked = _marked_rows(df.where("product_id IS NOT NULL"), fills, own)
+    return marked.unionByName(_lone_rows(df.where("product_id IS NULL"), fills, own))
+
+
 def _swap(df: DataFrame, prefix_in: str, prefix_out: str) -> DataFrame:
     """Rename the filled columns away and another version of them in."""
     away = df.withColumnsRenamed({c: prefix_out + c for c in FILLED})
@@ -72,38 +85,24 @@ def _swap(df: DataFrame, prefix_in: str, prefix_out: str) -> DataFrame:
 def profile_and_clean(
     df: DataFrame, rules: Mapping[str, Column], path: str, email_mode: str = "literal"
 ) -> DataFrame:
-    """Write the cleaned orders to ``path``; return the profile of the raw ones.
+    """Publish the cleaned orders at ``path``; return the profile of the raw ones.
 
     The counts are observed in the stage that writes, after the last shuffle, where
-    Spark applies each task's update once. A raw price that the fills overwrite (one
-    without a product) is in no mark, so such tables are profiled on their own.
+    Spark applies each task's update once.
     """
-    prices = price_counts(df)
-    fills = price_fills(prices)
-    overwritten = prices.where("product_id is null and unit_price is not null")
-    if not overwritten.isEmpty():
-        return _profile_then_clean(df, rules, path, email_mode, fills)
+    fills = price_fills(price_counts(df))
     columns = df.columns
-    own = _free_prefix(columns)
+    own = free_prefix(columns)
     seen = Observation()
-    raw = _swap(_marked_rows(df, fills, own), f"{own}raw_", f"{own}filled_")
+    raw = _swap(_distinct_rows(df, fills, own), f"{own}raw_", f"{own}filled_")
     # Plain columns first: an observed expression is not compiled with the rest of the stage.
     counts = {f"{own}{name}": count for name, count in row_counts(columns, rules, F.col(f"{own}copies")).items()}
     raw = raw.withColumns(counts).observe(
         seen, *[total.alias(name.removeprefix(own)) for name, total in zip(counts, totals(counts))]
     )
     filled = _swap(raw.where(F.col(f"{own}nth") == 0), f"{own}filled_", f"{own}raw_").select([F.col(f"`{c}`") for c in columns])
-    filled.transform(drop_null_email).transform(finish, email_mode).write.mode(
-        "overwrite"
-    ).parquet(path)
+    publish(filled.transform(drop_null_email).transform(finish, email_mode), path)
     if not seen.get:
         return stage(row_profile(df, rules), "profile_before")
     schema = ", ".join(f"`{name}` bigint" for name in seen.get)
     return df.sparkSession.createDataFrame([tuple(seen.get.values())], schema)
-
-
-def _profile_then_clean(
-    df: DataFrame, rules: Mapping[str, Column], path: str, email_mode: str, fills: PriceFills
-) -> DataFrame:
-    clean(df, fills, email_mode).write.mode("overwrite").parquet(path)
-    return stage(row_profile(df, rules), "profile_before")

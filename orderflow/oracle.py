@@ -392,6 +392,10 @@ def _sample(select: str) -> str:
     return _with(_sample_chain(), select)
 
 
+# Lines without a product, most of them with a price.
+LONE = RAW.replace("raw_orders AS (", "all_orders AS (") + """,
+raw_orders AS (SELECT * REPLACE (CASE WHEN order_id % 20 <> 7 THEN product_id END AS product_id) FROM all_orders)"""
+
 # Documented columns with their types, personal-data flags and stages.
 DICTIONARY = ", ".join(f"('{t}', '{c}', '{kind}', '{pii}', '{made}')" for t, c, kind, made, pii in DOCUMENTED)
 
@@ -418,28 +422,79 @@ TABLE_COLUMNS = {
 def _catalog(select: str) -> str:
     held = _union(
         [
-            f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count(*) AS rows, "
-            f"count(*) - count({c}) AS nulls FROM {t}"
+            f"SELECT '{t}' AS \"table\", \"column\", rows, rows - n AS nulls FROM (UNPIVOT ("
+            f"SELECT count(*) AS rows, {', '.join(f'count({c}) AS {c}' for c in columns)} FROM {t}) "
+            f"ON {', '.join(columns)} INTO NAME \"column\" VALUE n)"
             for t, columns in TABLE_COLUMNS.items()
-            for c in columns
         ]
     )
     chain = re.sub(r"\b(raw_orders|validated_orders|fact_orders) AS \(", r"\1 AS MATERIALIZED (", f"{RAW},{STAR}")
     return _with(
         f"{chain}, held AS MATERIALIZED ({held}), "
         f'dictionary AS (SELECT * FROM (VALUES {DICTIONARY}) t("table", entry, data_type, pii, source_stage)), '
-        'documented AS (SELECT held."table", held."column", data_type, pii, source_stage, rows, nulls '
+        'documented AS MATERIALIZED (SELECT held."table", held."column", data_type, pii, source_stage, rows, nulls '
         'FROM held JOIN dictionary d ON held."table" = d."table" '
         "AND (d.entry = '*' OR d.entry = held.\"column\"))",
         select,
     )
 
 
+# How columns are made: result table and columns, source table and columns, what is done.
+STEPS = (
+    ("validated_orders", "order_id customer_id product_id order_date payment_method", "raw_orders", "", "taken over"),
+    ("validated_orders", "customer_email", "raw_orders", "", "lines without an address or with the placeholder leave"),
+    ("validated_orders", "product_category", "raw_orders", "", "Unknown where missing; outer spaces off; words capitalized"),
+    ("validated_orders", "quantity", "raw_orders", "", "lines of 0 pieces or less leave"),
+    ("validated_orders", "unit_price", "raw_orders", "unit_price product_id",
+     "median of the product where missing, else the median of all; lines at 0 or less leave"),
+    ("validated_orders", "region", "raw_orders", "", "Unknown where missing"),
+    ("validated_orders", "total_amount", "raw_orders", "quantity unit_price", "pieces times price after cleaning, in two decimals"),
+    ("dim_customer", "customer_id customer_email", "validated_orders", "", "taken over"),
+    ("dim_customer", "lifetime_orders", "validated_orders", "order_id", "different values per customer and address"),
+    ("dim_customer", "lifetime_spend", "validated_orders", "total_amount", "sum per customer and address"),
+    ("dim_product", "product_id product_category", "validated_orders", "", "taken over"),
+    ("dim_product", "avg_unit_price", "validated_orders", "unit_price", "mean per product and category"),
+    ("dim_product", "times_ordered", "validated_orders", "product_id", "lines per product and category"),
+    ("dim_date", "order_date", "validated_orders", "", "taken over"),
+    ("dim_date", "order_year", "validated_orders", "order_date", "year of an ISO date"),
+    ("dim_date", "order_month", "validated_orders", "order_date", "month of an ISO date"),
+    ("dim_date", "order_day", "validated_orders", "order_date", "day of an ISO date"),
+    ("dim_date", "order_quarter", "validated_orders", "order_date", "quarter of an ISO date, Q4 for other dates"),
+    ("fact_orders", " ".join(FACT_COLUMNS), "validated_orders", "", "taken over"),
+    ("vw_monthly_revenue", "order_year order_month", "dim_date", "", "group"),
+    ("vw_monthly_revenue", "total_revenue", "fact_orders", "total_amount", "sum per month"),
+    ("vw_monthly_revenue", "total_orders", "fact_orders", "order_id", "different values per month"),
+    ("vw_category_performance", "product_category", "dim_product", "", "group"),
+    ("vw_category_performance", "orders", "fact_orders", "order_id", "lines per category"),
+    ("vw_category_performance", "units_sold", "fact_orders", "quantity", "sum per category"),
+    ("vw_category_performance", "revenue", "fact_orders", "total_amount", "sum per category"),
+    ("vw_region_performance", "region", "fact_orders", "", "group"),
+    ("vw_region_performance", "orders", "fact_orders", "order_id", "lines per region"),
+    ("vw_region_performance", "revenue", "fact_orders", "total_amount", "sum per region"),
+    ("vw_top_customers", "customer_id customer_email lifetime_orders lifetime_spend", "dim_customer", "", "taken over"),
+    ("vw_anomalies_amount_mismatch", " ".join(FACT_COLUMNS), "fact_orders", "", "taken over"),
+    ("vw_anomalies_high_value_orders", " ".join(FACT_COLUMNS), "fact_orders", "", "taken over"),
+)
+
+
+def _steps(select: str) -> str:
+    """A select over ``steps``, each column with its sources, and ``held``."""
+    rows = [
+        f"('{table}', '{c}', '{origin}', '{s}', '{how}')"
+        for table, columns, origin, sources, how in STEPS
+        for c in columns.split()
+        for s in (sources or c).split()
+    ]
+    steps = f'SELECT * FROM (VALUES {", ".join(rows)}) t("table", "column", source_table, source_column, transformation)'
+    return _catalog(f"SELECT * FROM (WITH steps AS ({steps}) {select})")
+
+
 def _objects() -> str:
     names = ["validated_orders", "dim_customer", "dim_product", "dim_date", "fact_orders"]
     names += [f"vw_{r}" for r in REPORTS]
-    kind = {n: "view" if n.startswith("vw_") else "table" for n in names}
-    return _union([f"SELECT '{n}' AS name, '{kind[n]}' AS type, count(*) AS rows FROM {n}" for n in names])
+    return _union(
+        [f"SELECT '{n}' AS name, 'temporary view' AS type, {len(TABLE_COLUMNS[n])} AS columns, count(*) AS rows FROM {n}" for n in names]
+    )
 
 
 WHOLE = (
@@ -608,9 +663,48 @@ ORDER BY draw, {", ".join(f"{c} NULLS FIRST" for c in COLUMNS)} LIMIT 150"""
     "sample_fraction": _sample(f"SELECT {ALL} FROM drawn WHERE draw < {round(0.04 * 2147483647)}"),
     "data_dictionary": _catalog("SELECT * FROM documented"),
     "pii_columns": _catalog("SELECT * FROM documented WHERE pii <> 'no'"),
-    "dictionary_coverage": _catalog(
-        'SELECT * FROM held WHERE NOT EXISTS (SELECT 1 FROM documented d '
-        'WHERE d."table" = held."table" AND d."column" = held."column")'
+    "dictionary_coverage": _catalog('SELECT held.* FROM held ANTI JOIN documented USING ("table", "column")'),
+    "csv_mixed_files": _raw(
+        "SELECT * REPLACE (CASE WHEN order_id % 50 = 3 THEN payment_method || chr(10) || '\"' || order_date || '\"' "
+        "ELSE payment_method END AS payment_method) FROM raw_orders"
+    ),
+    "column_states": _raw(
+        f"""SELECT t AS "table", c AS "column",
+  CASE WHEN t = 'complete' THEN 'present' WHEN c IN ('region', 'total_amount') THEN 'missing' ELSE 'present' END AS state,
+  count(*) FILTER (t = 'complete' OR quantity > 0) AS rows
+FROM raw_orders, unnest(['complete', 'partial']) AS x(t), unnest([{", ".join(f"'{c}'" for c in COLUMNS)}]) AS y(c) GROUP BY t, c
+UNION ALL SELECT 'partial', 'note', 'unexpected', count(*) FROM raw_orders WHERE quantity > 0"""
+    ),
+    "validated_orders_lone_prices": _with(f"{LONE},{VALIDATED}", "SELECT * FROM validated_orders"),
+    "quality_score_lone_prices": _with(LONE, _score("raw_orders")),
+    "column_lineage": _steps(
+        """SELECT s.*, a.nulls AS source_nulls, b.nulls FROM steps s
+JOIN held a ON a."table" = s.source_table AND a."column" = s.source_column
+JOIN held b ON b."table" = s."table" AND b."column" = s."column\""""
+    ),
+    "column_upstream": _steps(
+        """SELECT ancestor, CAST(min(distance) AS INTEGER) AS distance, any_value(rows) AS rows, any_value(nulls) AS nulls FROM (
+  WITH RECURSIVE up(ancestor, distance) AS (
+    SELECT source_table || '.' || source_column, 1 FROM steps WHERE "table" = 'vw_category_performance' AND "column" = 'revenue'
+    UNION SELECT source_table || '.' || source_column, distance + 1 FROM up JOIN steps ON "table" || '.' || "column" = ancestor)
+  SELECT * FROM up) JOIN held ON held."table" || '.' || held."column" = ancestor GROUP BY ancestor"""
+    ),
+    "column_transformations": _steps(
+        """SELECT held."table", held."column", coalesce(any_value(transformation), 'as it came in') AS transformation, rows, nulls
+FROM held LEFT JOIN steps USING ("table", "column") GROUP BY ALL"""
+    ),
+    "table_versions": _star(
+        "SELECT 'staging/staging_orders' AS \"table\", CAST(1 AS BIGINT) AS versions, count(*) AS rows FROM raw_orders UNION ALL "
+        "SELECT 'staging/validated_orders', 1, count(*) FROM validated_orders UNION ALL "
+        + " UNION ALL ".join(f"SELECT 'warehouse/{t}', 1, count(*) FROM {t}" for t in ("dim_customer", "dim_product", "dim_date", "fact_orders"))
+    ),
+    "lineage_attempts": _on_lineage(
+        "SELECT stage, CAST(2 AS BIGINT) AS attempt, rows_in + 1 AS rows_in, rows_out, rows_in + 1 - rows_out AS rows_dropped FROM stages"
+    ),
+    "run_violations": _on_lineage(
+        """SELECT 'run 2' AS run, stage, 'run id is not 8 hexadecimal digits' AS violation FROM stages
+UNION ALL SELECT 'run 2', stage, 'rows read are not those written' FROM stages WHERE stage IN ('02_validate', '03_transform')
+UNION ALL SELECT '0000000f', stage, unnest(['time goes back', 'source is not the last target']) FROM stages WHERE stage <> '01_ingest'"""
     ),
     "order_date_normalized": _validated(
         f"SELECT *, {ORDER_DAY} AS order_day FROM validated_orders"

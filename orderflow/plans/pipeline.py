@@ -25,18 +25,19 @@ from orderflow.operators.generate import generate_orders
 from orderflow.operators.profile import null_report, row_profile, score_summary
 from orderflow.operators.rules import order_rules
 from orderflow.operators.schema import (
+    cell_findings,
+    found_types,
     fractional_columns,
     nan_to_null,
     require_columns,
     require_numbers,
-    schema_report,
     standardize_columns,
     text_ids,
     with_order_types,
 )
 from orderflow.operators.validation import profile_and_clean
 from orderflow.plans.governance import column_catalog, read_dictionary
-from orderflow.plans.lineage import log_stage, new_run_id
+from orderflow.plans.lineage import StageRun, new_run_id
 from orderflow.plans.reports import REPORTS, export_reports
 from orderflow.plans.warehouse import (
     TABLES,
@@ -45,7 +46,7 @@ from orderflow.plans.warehouse import (
     read_warehouse,
     register_warehouse,
 )
-from orderflow.sources.counted import write_counted
+from orderflow.sources import versions
 from orderflow.sources.csv_files import read_csv, write_csv
 from orderflow.sources.lineage_log import flatten_log, read_log
 from orderflow.sources.shared_folder import stage
@@ -75,23 +76,15 @@ class Pipeline:
         return f"{self.folder}/{name}"
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        """The current version of a table of the run."""
+        return versions.current(self.spark, self.path(name))
 
     def lineage(self) -> DataFrame:
         return read_log(self.spark, self.path(LINEAGE_LOG))
 
     def _log(self, stage_name: str, source: str, target: str, rows_in: int, rows_out: int, **more):
-        log_stage(
-            self.spark,
-            self.path(LINEAGE_LOG),
-            self.run_id,
-            stage_name,
-            source,
-            target,
-            rows_in,
-            rows_out,
-            **more,
-        )
+        done = StageRun(self.run_id, stage_name, source, target, rows_in, rows_out, **more)
+        done.log(self.spark, self.path(LINEAGE_LOG))
 
     def _has_raw(self) -> bool:
         try:
@@ -106,16 +99,17 @@ class Pipeline:
             write_csv(generate_orders(self.spark, rows), self.path(RAW))
 
     def ingest(self, source: DataFrame | str | None = None, source_name: str = RAW) -> None:
-        """Standardise headers and missing values; nothing else is changed."""
+        """Standardise headers and missing values; nothing else is changed.
+
+        What validation needs to know of the cells is noted by the same write.
+        """
         if source is None:
             source = self.path(RAW)
         elif isinstance(source, str):
             source_name = source
         raw = read_csv(self.spark, source, self.multi_line) if isinstance(source, str) else nan_to_null(source)
         orders = standardize_columns(raw, self.column_map)
-        rows = write_counted(
-            orders, lambda d: d.write.mode("overwrite").parquet(self.path(STAGING))
-        )
+        rows = versions.publish(orders, self.path(STAGING), cell_findings(orders))
         self._log(
             STAGE_INGEST,
             source_name,
@@ -130,12 +124,10 @@ class Pipeline:
         """Check the schema, profile, clean, profile again, report."""
         staged = self.read(STAGING)
         require_columns(staged)
-        mismatches = [r.asDict() for r in schema_report(staged).collect()]
-        numbers = [
-            m["column"] for m in mismatches if (m["expected"], m["actual"]) == ("int64", "float64")
-        ]
-        require_numbers(staged, mismatches)
-        typed = with_order_types(staged, fractional_columns(staged, numbers), text_ids(mismatches))
+        found = versions.notes(self.spark, self.path(STAGING))
+        mismatches = [r.asDict() for r in found_types(self.spark, found).collect()]
+        require_numbers(found)
+        typed = with_order_types(staged, fractional_columns(found, mismatches), text_ids(mismatches))
         orders = nan_to_null(typed)
         rules = order_rules(self.valid_categories)
         before = profile_and_clean(orders, rules, self.path(VALIDATED), self.email_mode)
@@ -174,7 +166,7 @@ class Pipeline:
             STAGE_TRANSFORM,
             VALIDATED,
             WAREHOUSE,
-            orders.count(),
+            versions.notes(self.spark, self.path(VALIDATED))["rows"],
             rows["fact_orders"],
             columns=orders.columns,
             transformation=f"Built the star schema ({', '.join(TABLES)}) and the reporting views.",

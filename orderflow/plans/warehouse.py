@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orderflow.functions.dates import any_date, iso_date, quarter_label
 from orderflow.functions.money import rounded_average, rounded_sum
 from orderflow.plans.reports import REPORTS
-from orderflow.sources.counted import write_counted
+from orderflow.sources import versions
 from orderflow.sources.jobs import run_together
 
 ORDERS = "validated_orders"
@@ -83,23 +83,26 @@ TABLES: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def build_warehouse(orders: DataFrame, folder: str) -> dict[str, int]:
-    """Write every table, replacing earlier ones; rows written per table.
+    """Publish every table, replacing earlier ones; rows written per table.
 
     ``orders`` is read once per table, each time only the columns the table needs, so
     it should be a written table.
     """
 
     def write(name: str) -> int:
-        return write_counted(
-            TABLES[name](orders),
-            lambda d: d.write.mode("overwrite").parquet(f"{folder}/{name}"),
-        )
+        return versions.publish(TABLES[name](orders), f"{folder}/{name}")
 
     return run_together(orders.sparkSession, {n: lambda n=n: write(n) for n in TABLES})
 
 
 def read_warehouse(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in TABLES}
+    return {name: versions.current(spark, f"{folder}/{name}") for name in TABLES}
+
+
+def drop_warehouse(spark: SparkSession, folder: str) -> None:
+    """Leave no table current; tables that are not there stay so."""
+    for name in TABLES:
+        versions.drop(spark, f"{folder}/{name}")
 
 
 def register_warehouse(orders: DataFrame, tables: Mapping[str, DataFrame]) -> None:
@@ -114,8 +117,14 @@ def object_names() -> list[str]:
     return [ORDERS, *TABLES, *[f"vw_{name}" for name in REPORTS]]
 
 
+#: What the session catalog calls the kinds of objects, and what they are here.
+OBJECT_KINDS = {"MANAGED": "table", "EXTERNAL": "table", "VIEW": "view", "TEMPORARY": "temporary view"}
+
+
 def warehouse_objects(spark: SparkSession) -> DataFrame:
-    """(name, type) of every table and view registered in the session, foreign ones included."""
-    views = [f"vw_{name}" for name in REPORTS]
-    listed = spark.sql("SHOW TABLES").select(F.col("tableName").alias("name")).distinct()
-    return listed.withColumn("type", F.when(F.col("name").isin(views), "view").otherwise("table"))
+    """(name, type, columns) of every table and view the session knows, by its catalog."""
+    found = [
+        (o.name, OBJECT_KINDS.get(o.tableType, o.tableType.lower()), len(spark.catalog.listColumns(o.name)))
+        for o in spark.catalog.listTables()
+    ]
+    return spark.createDataFrame(found, "name string, type string, columns int")

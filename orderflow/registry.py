@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orderflow.fixed_values import EXPECTED_TYPES, NA_TOKENS
 from orderflow.functions.text import null_if_na
-from orderflow.operators import clean, generate, profile, sampling, schema
+from orderflow.operators import clean, generate, profile, sampling, schema, validation
 from orderflow.operators.rules import order_rules
 from orderflow.plans import fixture, governance, lineage, reports, warehouse
-from orderflow.plans.pipeline import Pipeline
+from orderflow.plans.pipeline import STAGING, VALIDATED, WAREHOUSE, Pipeline
+from orderflow.sources import lineage_log as log_files
+from orderflow.sources import versions
 from orderflow.sources.csv_files import read_csv, write_csv
 from orderflow.sources.shared_folder import new_folder, stage
 
@@ -120,6 +122,17 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.with_order_types(read_csv(spark, path))
 
 
+def csv_mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV files of which one has fields with line breaks, read back together."""
+    folder = new_folder(spark, "csv")
+    broken = F.col("order_id") % 50 == 3
+    lines = raw(spark, sf_dir)
+    write_csv(lines.where(~broken), f"{folder}/plain")
+    with_breaks = F.concat("payment_method", F.lit('\n"'), F.col("order_date"), F.lit('"'))
+    write_csv(lines.where(broken).withColumn("payment_method", with_breaks).coalesce(1), f"{folder}/broken")
+    return schema.with_order_types(read_csv(spark, f"{folder}/*"))
+
+
 def damaged_text(orders: DataFrame) -> DataFrame:
     """All columns as text, with cells that change the type of three columns."""
     text = orders.select([F.col(c).cast("string") for c in orders.columns])
@@ -151,6 +164,28 @@ def recompute_fine_prices(orders: DataFrame) -> DataFrame:
     return clean.recompute_total_amount(orders.withColumn("unit_price", fine))
 
 
+def without_products(orders: DataFrame) -> DataFrame:
+    """Some lines without a product, the prices of most of them left."""
+    return orders.withColumn("product_id", F.when(F.col("order_id") % 20 != 7, F.col("product_id")))
+
+
+def lone_prices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cleaned orders and raw profile of a table with prices that lack a product."""
+
+    def build() -> tuple[DataFrame, DataFrame]:
+        path = new_folder(spark, "lone_prices")
+        before = validation.profile_and_clean(without_products(raw(spark, sf_dir)), rules(), path)
+        return versions.current(spark, path), before
+
+    return _once(spark, sf_dir, "lone_prices", build)
+
+
+def column_states(orders: DataFrame) -> DataFrame:
+    """The columns of a complete table and of one that lacks two and has one more."""
+    partial = orders.drop("region", "total_amount").withColumn("note", F.lit("x")).where("quantity > 0")
+    return schema.column_states({"complete": orders, "partial": partial})
+
+
 def rule_flag(name: str, *columns: str) -> Query:
     return on_raw(lambda orders: orders.select("order_id", "product_id", *columns, rules()[name].alias("valid")))
 
@@ -230,6 +265,62 @@ def catalog_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.dictionary().join(made, "source_stage").select("table", "column", "data_type", "pii", "source_stage", "target")
 
 
+def column_transformations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the catalog that a run left says of each column's making, with the nulls the column holds."""
+    told = finished_run(spark, sf_dir).dictionary().select("table", "column", F.col("transformation_applied").alias("transformation"))
+    return told.join(_held(spark, sf_dir), ["table", "column"])
+
+
+def column_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns that the revenue of a category was made of, and what they hold."""
+    held = _held(spark, sf_dir)
+    found = lineage.upstream(governance.column_edges(governance.column_lineage(held)), "vw_category_performance.revenue")
+    named = held.select(F.concat_ws(".", "table", "column").alias("ancestor"), "rows", "nulls")
+    return found.join(named, "ancestor")
+
+
+def table_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables that a run published: how often, and the rows of the last version."""
+    run = finished_run(spark, sf_dir)
+    found = None
+    for name in (STAGING, VALIDATED, *[f"{WAREHOUSE}/{t}" for t in warehouse.TABLES]):
+        published = versions.history(spark, run.path(name))
+        one = published.agg(F.count("version").alias("versions"), F.max_by("rows", "number").alias("rows")).select(F.lit(name).alias("table"), "versions", "rows")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _logged_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log in which every stage of a run was tried twice, the second time with a row more, and logged twice."""
+
+    def build() -> str:
+        path = new_folder(spark, "lineage_log")
+        for r in finished_run(spark, sf_dir).lineage().collect():
+            for attempt in (1, 2, 2):
+                done = lineage.StageRun(r.run_id, r.stage, r.source, r.target, r.rows_in + attempt - 1, r.rows_out, attempt=attempt)
+                done.log(spark, path)
+            if r.stage != "04_generate_reports":
+                log_files.compact(spark, path)
+        return path
+
+    return log_files.read_log(spark, _once(spark, sf_dir, "logged_again", build))
+
+
+def lineage_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _logged_again(spark, sf_dir).select("stage", "attempt", "rows_in", "rows_out", "rows_dropped")
+
+
+def run_violations(log: DataFrame) -> DataFrame:
+    """What does not fit together in a whole log, and in two that are damaged."""
+    numbers = log.withColumns({"run_id": F.lit("run 2"), "rows_in": F.col("rows_in") + 1})
+    order = F.dense_rank().over(Window.orderBy("stage"))
+    times = log.withColumns(
+        {"run_id": F.lit("0000000f"), "timestamp": F.lit("2024-01-09").cast("timestamp") - F.make_interval(days=order), "source": F.upper("source")}
+    )
+    found = lineage.run_violations(log.unionByName(numbers).unionByName(times))
+    return found.select(F.when(F.col("run_id").isin("run 2", "0000000f"), F.col("run_id")).otherwise("whole").alias("run"), "stage", "violation")
+
+
 def lineage_log(log: DataFrame) -> DataFrame:
     return log.select("stage", "source", "target", "rows_in", "rows_out", "rows_dropped")
 
@@ -248,15 +339,16 @@ def generated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.dirty_orders(ids, keys.agg(F.count(F.lit(1))).scalar())
 
 
-def catalog(build: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        star = tables(spark, sf_dir)
-        views = {f"vw_{name}": make(star) for name, make in reports.REPORTS.items()}
-        orders = {"raw_orders": raw(spark, sf_dir), "validated_orders": validated(spark, sf_dir)}
-        held = governance.column_profile(orders | star | views)
-        return build(governance.data_dictionary(spark), held)
+def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and nulls of every column of every table and view."""
+    star = tables(spark, sf_dir)
+    views = {f"vw_{name}": make(star) for name, make in reports.REPORTS.items()}
+    orders = {"raw_orders": raw(spark, sf_dir), "validated_orders": validated(spark, sf_dir)}
+    return governance.column_profile(orders | star | views)
+
 
-    return query
+def catalog(build: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(governance.data_dictionary(spark), _held(spark, sf_dir))
 
 
 def dimension_key_check(star: dict[str, DataFrame]) -> DataFrame:
@@ -323,6 +415,16 @@ QUERIES: dict[str, Query] = {
     "lineage_log_flat": lineage_log_flat,
     "lineage_extra": on_lineage(lineage_extra),
     "catalog_from_csv": catalog_from_csv,
+    "csv_mixed_files": csv_mixed_files,
+    "column_states": on_raw(column_states),
+    "validated_orders_lone_prices": lambda spark, sf_dir: lone_prices(spark, sf_dir)[0],
+    "quality_score_lone_prices": lambda spark, sf_dir: profile.quality_score(lone_prices(spark, sf_dir)[1]),
+    "column_lineage": lambda spark, sf_dir: governance.lineage_with_nulls(_held(spark, sf_dir)),
+    "column_upstream": column_upstream,
+    "column_transformations": column_transformations,
+    "table_versions": table_versions,
+    "lineage_attempts": lineage_attempts,
+    "run_violations": on_lineage(run_violations),
     "generated_orders": generated_orders,
     "sample_rows": on_raw(lambda o: sampling.sample_rows(o, SAMPLE_KEYS, 150)),
     "sample_fraction": on_raw(lambda o: sampling.sample_fraction(o, SAMPLE_KEYS, 0.04)),

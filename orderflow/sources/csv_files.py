@@ -9,41 +9,53 @@ from pyspark.sql import types as T
 from orderflow.functions.text import null_if_na
 
 
-def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
-    """Whether a record of the files may span several lines.
+def files_with_quoted_newlines(spark: SparkSession, path: str) -> list[str]:
+    """The files in which some record spans several lines.
 
     Quotes inside a field are doubled, so a record that ends on its own line
     holds an even number of quotes. One splittable text scan settles it.
     """
+    lines = spark.read.text(path)
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    odd = lines.where(quotes % 2 == 1).select(lines.metadataColumn("_metadata")["file_path"].alias("file")).distinct()
+    return [r.file for r in odd.collect()]
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """Read CSV files with a header; missing-value tokens become null.
 
-    A multi-line read cannot split a file, so it is used only when a record
-    needs it; ``None`` finds that out with a text scan.
+    A multi-line read cannot split a file, so only the files that need it are read that way; ``None``
+    finds them with a text scan. The others stay splittable.
     """
-    if multi_line is None:
-        multi_line = has_quoted_newlines(spark, path)
-    reader = (
+    whole = files_with_quoted_newlines(spark, path) if multi_line is None else []
+    several = bool(whole) or bool(multi_line)
+    names = _reader(spark, several).csv(path).columns
+    if not names:
+        return _reader(spark, several).csv(path)
+    if not whole:
+        records = _whole_records(_reader(spark, several), path, names)
+    else:
+        records = _whole_records(_reader(spark, False), path, names, whole, False).unionByName(
+            _whole_records(_reader(spark, True), path, names, whole, True)
+        )
+    return records.select([null_if_na(F.col(f"`{c}`")).alias(c) for c in names])
+
+
+def _reader(spark: SparkSession, multi_line: bool) -> DataFrameReader:
+    return (
         spark.read.option("header", True)
         .option("escape", '"')
         .option("multiLine", multi_line)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
     )
-    names = reader.csv(path).columns
-    if not names:
-        return reader.csv(path)
-    return _whole_records(reader, path, names).select([null_if_na(F.col(f"`{c}`")).alias(c) for c in names])
 
 
-def _whole_records(reader: DataFrameReader, path: str, names: list[str]) -> DataFrame:
+def _whole_records(reader: DataFrameReader, path: str, names: list[str], files: list[str] | None = None, among: bool = True) -> DataFrame:
     """The records as text columns; one with more fields than the header stops the query.
 
-    Spark marks records whose length is not the header's. Only those are parsed once more, with a
+    With ``files`` those among them, or all others: Spark leaves out the rest before it reads. It
+    marks records whose length is not the header's. Only those are parsed once more, with a
     column for a field beyond the header. Shorter ones end in nulls.
     """
     mark = "_odd_record"
@@ -53,6 +65,9 @@ def _whole_records(reader: DataFrameReader, path: str, names: list[str]) -> Data
     text = (
         reader.schema(schema).option("columnNameOfCorruptRecord", mark).option("columnPruning", False).csv(path)
     )
+    if files is not None:
+        listed = text.metadataColumn("_metadata")["file_path"].isin(files)
+        text = text.where(listed if among else ~listed)
     places = ", ".join(f"c{i} string" for i in range(len(names) + 1))
     beyond = F.from_csv(F.col(mark), places, {"escape": '"', "multiLine": "true"})[f"c{len(names)}"].isNotNull()
     message = F.concat(F.lit("a record has more fields than the header: "), F.col(mark), F.coalesce(F.left(F.col(f"`{names[0]}`"), F.lit(0)), F.lit("")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orderflow.operators import clean, generate, median, profile, sampling, schema, validation
 from orderflow.operators.rules import order_rules
+from orderflow.sources import versions
 from orderflow.sources.shared_folder import new_folder
 
 
@@ -48,10 +49,33 @@ def test_typed_column_with_null_is_a_mismatch(orders):
 def test_text_that_is_no_number_stops_the_run(spark, orders):
     text = orders({}, {"quantity": 3}).select([F.col(c).cast("string") for c in schema.ORDER_COLUMNS])
     odd = text.withColumn("quantity", F.when(F.col("quantity") == "3", "3 pcs").otherwise(F.col("quantity")))
-    mismatches = [r.asDict() for r in schema.schema_report(odd).collect()]
     with pytest.raises(schema.UnreadableValues, match="quantity.*1"):
-        schema.require_numbers(odd, mismatches)
-    schema.require_numbers(text, [r.asDict() for r in schema.schema_report(text).collect()])
+        schema.require_numbers(schema.findings(odd))
+    suffixed = text.withColumn("quantity", F.lit("3d")).withColumn("unit_price", F.lit("2.5f"))
+    with pytest.raises(schema.UnreadableValues, match="quantity.*unit_price"):
+        schema.require_numbers(schema.findings(suffixed))
+    schema.require_numbers(schema.findings(text))
+    assert schema.with_order_types(suffixed).where("quantity IS NOT NULL OR unit_price IS NOT NULL").isEmpty()
+
+
+def test_findings_give_the_schema_report(spark, orders):
+    df = orders({"quantity": None}, {"quantity": 2}).withColumn("customer_id", F.lit("C1")).drop("region").withColumn("extra", F.lit(1))
+    found = schema.findings(df)
+    report = {tuple(r) for r in schema.found_types(spark, found).collect()}
+    assert report == {tuple(r) for r in schema.schema_report(df).collect()}
+    assert report == {("quantity", "int64", "float64"), ("customer_id", "int64", "object"), ("region", "object", "missing")}
+    halves = orders({}, {}).withColumn("quantity", F.lit("2.5"))
+    assert schema.fractional_columns(schema.findings(halves), [{"column": "quantity", "expected": "int64", "actual": "float64"}]) == ["quantity"]
+
+
+def test_a_plan_without_a_required_column_stops_in_its_own_job(orders):
+    whole = orders({}, {})
+    assert schema.with_required_columns(whole) is whole
+    broken = schema.with_required_columns(whole.drop("region"))  # nothing has run so far
+    with pytest.raises(Exception, match="lack the columns.*region"):
+        broken.collect()
+    states = {(r.table, r.column): (r.state, r.rows) for r in schema.column_states({"a": whole.drop("region").withColumn("x", F.lit(1))}).collect()}
+    assert states["a", "region"] == ("missing", 2) and states["a", "x"] == ("unexpected", 2) and states["a", "quantity"][0] == "present"
 
 
 def test_text_ids_stay_text(spark, tmp_path):
@@ -81,7 +105,7 @@ def test_extra_columns_keep_their_values(spark, orders, tmp_path):
     from orderflow.operators.validation import profile_and_clean
 
     profile_and_clean(df, order_rules(), str(tmp_path / "clean"))
-    rows = spark.read.parquet(str(tmp_path / "clean")).collect()
+    rows = versions.current(spark, str(tmp_path / "clean")).collect()
     assert sorted(r.order_id for r in rows) == [1, 2]
     assert all(r[k] == v for r in rows for k, v in extra.items())
 
@@ -96,11 +120,11 @@ def test_small_fractions_keep_rows(spark):
 def test_amounts_are_exact_or_carry_on(spark):
     from orderflow.functions import money
 
-    rows = [(1000, 0.12345, 123.45), (1_000_000, 0.00012, 120.0), (100_000, 0.00004, 4.0), (3, 0.335, 1.0), (2, 3.5, 7.0), (10**12, 5000.0, 5e15), (1, float("inf"), float("inf"))]
+    rows = [(10**9, 4e-11, 0.04), (10**9, 1.25e-9, 1.25), (1000, 0.12345, 123.45), (1_000_000, 0.00012, 120.0), (100_000, 0.00004, 4.0), (3, 0.335, 1.0), (2, 3.5, 7.0), (10**12, 5000.0, 5e15), (1, float("inf"), float("inf"))]
     df = spark.createDataFrame(rows, "q bigint, p double, want double")
     got = df.select("want", money.line_amount(F.col("q"), F.col("p")).alias("got"), money.amount_differs(F.col("q"), F.col("p"), F.col("want")).alias("bad")).collect()
-    assert [r.got for r in got] == [123.45, 120.0, 4.0, 1.0, 7.0, 5e15, float("inf")]
-    assert [r.bad for r in got] == [False, False, False, True, False, False, False]
+    assert [r.got for r in got] == [0.04, 1.25, 123.45, 120.0, 4.0, 1.0, 7.0, 5e15, float("inf")]
+    assert [r.bad for r in got] == [False, False, False, False, False, True, False, False, False]
     total = df.agg(money.rounded_sum(F.col("want")).alias("t"), money.rounded_average(F.col("p")).alias("a")).first()
     assert total.t == float("inf") and total.a == float("inf")
     fine = spark.createDataFrame([(0.12345,), (0.12355,)], "p double").agg(money.rounded_average(F.col("p"))).first()[0]
@@ -238,7 +262,7 @@ def check_one_pass(spark, df):
     path = new_folder(spark, "one_pass")
     observed = validation.profile_and_clean(df, order_rules(), path).first().asDict()
     assert observed == profile.row_profile(df, order_rules()).first().asDict()
-    assert as_set(spark.read.schema(df.schema).parquet(path)) == as_set(clean.clean(df))
+    assert as_set(versions.current(spark, path)) == as_set(clean.clean(df))
 
 
 def test_one_pass_equals_two(spark, raw):
@@ -258,6 +282,8 @@ def test_one_pass_with_rows_that_meet_after_filling(spark, orders):
 
 def test_one_pass_with_prices_that_fills_overwrite(spark, orders):
     check_one_pass(spark, orders(*PRICE_ROWS))
+    lone = [{"product_id": None, "unit_price": p, "region": r} for p in (None, 1.0, 2.0, 2.0) for r in (None, "Unknown", "North")]
+    check_one_pass(spark, orders({}, *lone, *lone[:5]))
 
 
 def test_one_pass_on_an_empty_table(spark, orders):

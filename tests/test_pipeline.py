@@ -65,6 +65,29 @@ def test_a_second_run_replaces_tables_and_keeps_history(spark, raw, finished):
     assert pipeline.tables()["fact_orders"].count() == 5673
 
 
+def test_a_run_that_fails_leaves_the_old_tables(spark, orders):
+    pipeline = Pipeline(spark, new_folder(spark, "run"))
+    pipeline.run(orders({}, {"order_id": 2}))
+    lost = orders({}).withColumn("region", F.raise_error(F.lit("disk gone")))
+    with pytest.raises(Exception, match="disk gone"):
+        Pipeline(spark, pipeline.folder).run(lost)
+    assert pipeline.read("staging/staging_orders").count() == 2
+    with pytest.raises(ValueError, match="no numbers"):
+        Pipeline(spark, pipeline.folder).run(orders({}).withColumn("quantity", F.lit("3d")))
+    assert pipeline.read("staging/validated_orders").count() == 2 and pipeline.tables()["fact_orders"].count() == 2
+    warehouse.drop_warehouse(spark, pipeline.path("warehouse"))
+    warehouse.drop_warehouse(spark, pipeline.path("warehouse"))
+    with pytest.raises(LookupError):
+        pipeline.tables()
+
+
+def test_objects_have_the_types_of_the_session_catalog(spark, orders):
+    orders({}).createOrReplaceTempView("some_foreign_view")
+    found = {r.name: r for r in warehouse.warehouse_objects(spark).collect()}
+    assert (found["some_foreign_view"].type, found["some_foreign_view"].columns) == ("temporary view", 11)
+    spark.catalog.dropTempView("some_foreign_view")
+
+
 def test_csv_in_with_messy_headers(spark, orders):
     folder = new_folder(spark, "run")
     messy = orders({}, {"order_id": 2, "quantity": None}, {"order_id": 3}).withColumnsRenamed(
@@ -133,11 +156,39 @@ def test_category_report_fans_out_per_product_category(spark, orders):
     assert {r.product_category: r.orders for r in exact} == {"Books": 2, "Toys": 1}
 
 
+def test_a_catalog_is_read_by_its_headers(spark, tmp_path):
+    file = tmp_path / "catalog.csv"
+    file.write_text("table,column,data_type,description,source_stage,transformation_applied,pii\nt,c,int,what it is,made,\"filled, then cut\",yes\n")
+    row = governance.read_dictionary(spark, str(file)).first().asDict()
+    assert row == {
+        "table": "t", "column": "c", "data_type": "int", "description": "what it is", "source_stage": "made",
+        "transformation_applied": "filled, then cut", "pii": "yes",
+    }
+    file.write_text("pii, Column ,table\nno,c,t\n")
+    row = governance.read_dictionary(spark, str(file)).first()
+    assert (row.table, row.column, row.pii, row.description) == ("t", "c", "no", None)
+    for wrong in ("table,column,owner\nt,c,x\n", "table,pii\nt,no\n"):
+        file.write_text(wrong)
+        with pytest.raises(ValueError, match="no column catalog"):
+            governance.read_dictionary(spark, str(file))
+
+
+def test_every_column_has_a_step_or_came_in(spark, finished):
+    pipeline, _ = finished
+    held = {t: df for tables in pipeline._held(pipeline.read("staging/validated_orders")).values() for t, df in tables.items()}
+    profile = governance.column_profile(held)
+    steps = governance.column_lineage(profile).collect()
+    named = {(r.table, r.column) for r in steps}
+    assert {(t, c) for t, df in held.items() for c in df.columns} - named == {("raw_orders", c) for c in held["raw_orders"].columns}
+    assert all(r.source_column in held[r.source_table].columns for r in steps)
+    assert {(t, c) for t, c in governance.MADE} <= named
+
+
 def test_dictionary_round_trip_and_coverage(spark, orders):
     path = new_folder(spark, "dictionary")
     dictionary = governance.data_dictionary(spark)
     write_csv(dictionary, path)
-    assert governance.read_dictionary(spark, path).drop("description").exceptAll(dictionary).isEmpty()
+    assert governance.read_dictionary(spark, path).select(dictionary.columns).exceptAll(dictionary).isEmpty()
     held = governance.column_profile(
         {"raw_orders": orders({"region": None}, {}), "validated_orders": orders({}), "fact_orders": warehouse.fact_orders(orders({}))}
     )
