@@ -1,19 +1,26 @@
 """K-d tree sharding: documents split at weighted medians of their metadata.
 
-A node is split along the dimension in which its documents spread widest, relative to the whole
-table, at the point that halves its bytes. The point is found by histograms that Spark sums: a
+A node that weighs more than the target is split along the dimension in which its documents spread widest, relative
+to the whole table, at the point that halves its bytes; so on until no leaf is above the target that can be
+split. The point is found by histograms that Spark sums: a
 few bits of an order-preserving 64-bit key at a time, until the bin that holds the middle weighs
-next to nothing or is a single key. Only those bins come to the driver, one row a node. Keys end
+next to nothing or is a single key. Nodes and cuts are tables with a row a node that the documents are joined with, so
+the number of leaves is not bounded by the driver. Keys end
 in a hash of the doc_id, so documents that are equal in a dimension can be split too.
 
+Given a number of shards instead, the heaviest nodes are split first until there are that many leaves; documents that
+are few or very unequal may give fewer.
+
 Law: bytes, shards hold nearly equal bytes. A null text weighs one byte, as an empty one; null
 metadata come first in their dimension, a null doc_id hashes like any other value. Repeated rows
 stay, and rows with one doc_id and equal metadata go to one shard. An empty table gives no row.
-Other columns do not matter.
+A very long text is one document of that weight and never split. Other columns do not matter.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +30,8 @@ STEP_BITS = 12
 KEY_BITS = 60  # 30 of the value, 30 of the hash of the doc_id
 TOLERANCE = 1e-4
 SLOT_ROWS = 50_000
+#: A node's number doubles at each level; this deep no node is split further.
+LAST_NODE = 1 << 60
 
 
 def metadata(docs: DataFrame) -> dict[str, Column]:
@@ -35,11 +44,10 @@ def metadata(docs: DataFrame) -> dict[str, Column]:
     return {c: ordinal(c) for c in ("lang", "source") if c in docs.columns} | found
 
 
-def kd_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard); ``shards`` is a power of two."""
-    depth = shards.bit_length() - 1
-    if shards != 1 << depth:
-        raise ValueError("the tree has a power of two of leaves")
+def kd_shards(docs: DataFrame, target_bytes: float | None = None, shards: int | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard), by target bytes or by number of shards."""
+    if (target_bytes is None) == (shards is None):
+        raise ValueError("give either the target bytes or the number of shards")
     dims = metadata(docs)
     names = [f"d{i}" for i in range(len(dims))]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -48,18 +56,36 @@ def kd_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
         (F.octet_length(text).cast("bigint") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         *[_key(value).alias(name) for name, value in zip(names, dims.values())],
+        F.lit(1).cast("bigint").alias("node"),
     )
-    placed = written(rows, "metadata").withColumn("node", F.lit(1))
+    placed = written(rows, "metadata")
     root = None
-    for _ in range(depth):
-        root, cuts = _cuts(placed, names, root)
-        if not cuts:
+    while True:
+        nodes = written(placed.groupBy("node").agg(F.sum("size").alias("total"), *[(F.max(n) - F.min(n)).alias(n) for n in names]), "nodes")
+        if root is None:
+            root = nodes.first()
+            if root is None:
+                break
+            target_bytes = target_bytes if shards is None else root["total"] / (2 * shards)
+        spread = F.array(*[F.col(n) / max(1, root[n]) for n in names])
+        dim = (F.array_position(spread, F.array_max(spread)) - 1).cast("int")
+        heavy = nodes.where((F.col("total") > target_bytes) & (F.array_max(spread) > 0) & (F.col("node") < LAST_NODE)).select("node", "total", dim.alias("dim"))
+        if shards is not None:
+            heavy = heavy.orderBy(F.desc("total"), "node").limit(max(0, shards - nodes.count()))
+        heavy = written(heavy, "heavy")
+        if heavy.isEmpty():
             break
-        go = F.lit(False)
-        for node, (name, key) in cuts.items():
-            go = F.when(F.col("node") == node, F.col(name) >= key).otherwise(go)
-        placed = placed.withColumn("node", F.col("node") * 2 + go.cast("int"))
-    placed = written(placed.select("doc_id", "size", "text_crc32", (F.col("node") - shards).alias("shard")), "shards")
+        value = F.get(F.array(*names), F.col("dim"))
+        side = F.col("node") * 2 + (value >= F.col("cut")).cast("int")
+        placed = written(
+            placed.join(_cuts(placed.withColumn("all", F.array(*names)), heavy), "node", "left")
+            .withColumn("node", F.coalesce(side, F.col("node"))).drop("dim", "cut"),
+            "placed",
+        )
+    # leaves from left to right: a row a leaf
+    left = Window.orderBy(F.expr("node * shiftleft(1L, 61 - CAST(floor(log2(node)) AS INT))"))
+    leaves = nodes.select("node", (F.row_number().over(left) - 1).alias("shard"))
+    placed = written(placed.select("doc_id", "size", "text_crc32", "node").join(leaves, "node").drop("node"), "shards")
     return _slots(placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
@@ -72,44 +98,36 @@ def _key(value: Column) -> Column:
     return high * half + F.pmod(F.xxhash64(F.col("doc_id").cast("bigint"), F.lit(7)), F.lit(half))
 
 
-def _cuts(placed: DataFrame, names: list[str], root: dict | None) -> tuple[dict, dict[int, tuple[str, int]]]:
-    """For each node the dimension to cut and the first key of its upper half."""
-    spans = placed.groupBy("node").agg(
-        F.sum("size").alias("total"), *[(F.max(n) - F.min(n)).alias(n) for n in names]
-    ).collect()  # one row a node
-    if not spans:
-        return root or {}, {}
-    if root is None:
-        root = {n: max(1, spans[0][n]) for n in names}
-    widest = {s["node"]: max(names, key=lambda n: s[n] / root[n]) for s in spans}
-    total = {s["node"]: s["total"] for s in spans}
-    # how many leading bits of a node's cut are known, the cut, and the weight below it
-    state = {node: (0, 0, 0) for node in total}
-    open_nodes = set(total)
-    shift = KEY_BITS
-    while open_nodes and shift > 0:
+def _cuts(placed: DataFrame, heavy: DataFrame) -> DataFrame:
+    """(node, dim, cut): the dimension of each heavy node and the first key of its upper half.
+
+    ``prefix`` holds the leading bits of a node's cut that are known, ``before`` the weight below them.
+    """
+    start = heavy.select("node", "dim", "total", F.lit(0).cast("bigint").alias("prefix"), F.lit(0).cast("bigint").alias("before"))
+    state, cuts, shift = start, [], KEY_BITS
+    while shift > 0:
         shift -= STEP_BITS
-        key = F.lit(None).cast("bigint")
-        for node in open_nodes:
-            prefix = state[node][1]
-            value = F.col(widest[node])
-            inside = F.shiftright(value, shift + STEP_BITS) == prefix
-            key = F.when((F.col("node") == node) & inside, F.shiftright(value, shift)).otherwise(key)
-        bins = placed.select("node", "size", key.alias("bin")).where("bin IS NOT NULL").groupBy("node", "bin").agg(F.sum("size").alias("w"))
-        below = F.sum("w").over(Window.partitionBy("node").orderBy("bin")) - F.col("w")
-        wanted = F.lit(None).cast("double")
-        for node in open_nodes:
-            wanted = F.when(F.col("node") == node, F.lit(total[node] / 2 - state[node][2])).otherwise(wanted)
-        middle = bins.withColumn("below", below).where((F.col("below") < wanted) & (F.col("below") + F.col("w") >= wanted))
-        for r in middle.collect():  # one bin a node
-            node, before = r["node"], state[r["node"]][2] + r["below"]
-            state[node] = (shift, r["bin"], before)
-            if r["w"] <= TOLERANCE * total[node] or shift == 0:
-                # the cut goes to the nearer edge of the bin
-                low = total[node] / 2 - before <= r["w"] / 2
-                state[node] = (shift, r["bin"] + (0 if low else 1), before)
-                open_nodes.discard(node)
-    return root, {node: (widest[node], key << bits) for node, (bits, key, _) in state.items()}
+        value = F.get(F.col("all"), F.col("dim"))
+        inside = placed.select("node", "size", "all").join(state, "node").where(F.shiftright(value, shift + STEP_BITS) == F.col("prefix"))
+        bins = inside.groupBy("node", "dim", "total", "before", F.shiftright(value, shift).alias("bin")).agg(F.sum("size").alias("w"))
+        wanted = F.col("total") / 2 - F.col("before")
+        middle = bins.withColumn("below", F.sum("w").over(Window.partitionBy("node").orderBy("bin")) - F.col("w")).where(
+            (F.col("below") < wanted) & (F.col("below") + F.col("w") >= wanted)
+        )
+        found = written(
+            middle.select(
+                "node", "dim", "total", F.col("bin").alias("prefix"), (F.col("before") + F.col("below")).alias("before"), "w",
+                ((F.col("w") <= TOLERANCE * F.col("total")) | F.lit(shift == 0)).alias("settled"),
+            ),
+            "middles",
+        )
+        # the cut goes to the nearer edge of the bin
+        upper = (F.col("total") / 2 - F.col("before") > F.col("w") / 2).cast("bigint")
+        cuts.append(found.where("settled").select("node", "dim", F.shiftleft(F.col("prefix") + upper, shift).alias("cut")))
+        state = found.where("NOT settled").drop("w", "settled")
+        if state.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, cuts)
 
 
 def _slots(placed: DataFrame) -> DataFrame:
