@@ -33,7 +33,12 @@ b AS (
          + 16 * CAST(10 * n_same_words > 3 * n_words AS INT) + 32 * CAST(10 * n_shouted_words > 4 * n_words AS INT)
          + 64 * CAST(word_chars > 25 * n_words OR word_chars < 2 * n_words AS INT) AS BIGINT) AS failed_bits
   FROM m)
-SELECT *, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept FROM b
+SELECT *, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept,
+       (failed_bits & 3) = 0 AS passed_base, (failed_bits & 15) = 0 AS passed_v1, failed_bits = 0 AS passed_v2,
+       CASE failed_bits WHEN 1 THEN 'too_few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines'
+            WHEN 16 THEN 'word_runs' WHEN 32 THEN 'shouting' WHEN 64 THEN 'word_length' END AS only_rule,
+       CASE WHEN failed_bits IN (1, 2, 4, 8, 16, 32, 64) THEN count(*) OVER (PARTITION BY failed_bits) END AS only_rule_documents
+FROM b
 """
 
 #: Smallest id that links (a, b), given both ways in ``ways``, reach from every ``doc`` of ``nodes``.

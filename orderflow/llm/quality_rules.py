@@ -17,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from orderflow.llm.tables import fresh, written
 from orderflow.llm.words import Texts, Words, chunks, sums_by_text, texts_of, word_hashes, words_of
 
 WINDOW = 8
@@ -146,16 +148,26 @@ def passes(policy: str) -> Column:
     return F.col("failed_bits").bitwiseAND(F.lit(mask_of(POLICIES[policy]))) == 0
 
 
-def keep(docs: DataFrame, policy: str = "v2") -> DataFrame:
-    """The rows of ``docs`` that pass the policy, with all their columns, in one pass and no join."""
-    mask = mask_of(POLICIES[policy])
+def audited(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of ``docs`` with their ledger beside them, written once, and the name of its bits' column."""
+    names = fresh(docs, *MEASURES, "failed_bits")
+    schema = StructType([*docs.schema, *[StructField(n, LongType()) for n in names]])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch):
-                yield chunk.filter(pa.array((measure(chunk)["failed_bits"] & mask) == 0))
+                found = measure(chunk)
+                yield pa.RecordBatch.from_arrays(
+                    [*chunk.columns, *[pa.array(x, pa.int64()) for x in found.values()]], [*chunk.schema.names, *names]
+                )
+
+    return written(docs.mapInArrow(rows, schema), "audited"), names[-1]
 
-    return docs.mapInArrow(rows, docs.schema)
+
+def keep(docs: DataFrame, policy: str = "v2") -> DataFrame:
+    """The rows of ``docs`` that pass the policy, with all their columns: a filter on the written ledger."""
+    rows, bits = audited(docs)
+    return rows.where(F.col(bits).bitwiseAND(F.lit(mask_of(POLICIES[policy]))) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def ablations(entries: DataFrame, policy: str) -> DataFrame:
@@ -180,8 +192,28 @@ def ablations(entries: DataFrame, policy: str) -> DataFrame:
     return one.select(F.inline(rows))
 
 
+def only_rule(policy: str) -> Column:
+    """The rule that alone rejects a ledger row under a policy; null if none or several do."""
+    bits, found = F.col("failed_bits").bitwiseAND(F.lit(mask_of(POLICIES[policy]))), F.lit(None).cast("string")
+    for rule in POLICIES[policy]:
+        found = F.when(bits == mask_of((rule,)), rule).otherwise(found)
+    return found
+
+
 def quality_rules(docs: DataFrame, policy: str = "v2") -> DataFrame:
-    """The ledger with the base rules' and the policy's verdict."""
-    return ledger(docs).withColumns(
-        {"base_failed": ~passes("base"), "kept": passes("base") & passes(policy)}
+    """The ledger with every policy's verdict and what leaving out a rule would bring back.
+
+    ``base_failed`` and ``kept`` are the verdicts of the base rules and of both base and ``policy``, ``passed_*``
+    those of each version. ``only_rule`` is the one rule that rejects a document under ``policy``, and
+    ``only_rule_documents`` how many documents that rule alone rejects. All come from one written ledger.
+    """
+    entries = written(ledger(docs), "rule_ledger")
+    alone = ablations(entries, policy).select(F.col("rule").alias("only_rule"), F.col("only_this").alias("only_rule_documents"))
+    judged = entries.withColumns(
+        {
+            "base_failed": ~passes("base"), "kept": passes("base") & passes(policy),
+            **{f"passed_{name}": passes(name) for name in POLICIES}, "only_rule": only_rule(policy),
+        }
     )
+    # a row for each rule
+    return judged.join(F.broadcast(alone), "only_rule", "left").select(*judged.columns, "only_rule_documents")
