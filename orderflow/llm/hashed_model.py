@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderflow.llm.tables import written
@@ -72,6 +72,13 @@ def sparse(n: int, row: np.ndarray, index: np.ndarray, bits: int, unit: bool) ->
     return Sparse(n, at, keys & ((1 << bits) - 1), value / norm[at])
 
 
+def drawn(share: float) -> Column:
+    """Whether a row is in the sample: a hash of its doc_id, in millionths and 2^-31 of these, lies below ``share``."""
+    step = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(1_000_000))
+    fine = F.pmod(F.xxhash64("doc_id", F.lit(98)), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    return step + fine < share * 1_000_000
+
+
 def training_rows(labelled: DataFrame, features: Features, bits: int, unit: bool, label=None) -> DataFrame:
     """Features of a sample of about TRAIN_ROWS rows (doc_id, text, label), the same in every run.
 
@@ -80,7 +87,7 @@ def training_rows(labelled: DataFrame, features: Features, bits: int, unit: bool
     """
     total = labelled.count()
     share = min(1.0, TRAIN_ROWS / max(1, total))
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(1_000_000)) < share * 1_000_000)
+    chosen = labelled.where(drawn(share))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
