@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,26 +66,29 @@ def usable(vectors: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, ids, labels, sizes, cells, units = [], [], [], [], [], []
-            for place, vec_id, label, vector in zip(batch.column("row").to_pylist(), batch.column("vec_id").to_pylist(), batch.column("label").to_pylist(), batch.column("embedding")):
-                if vec_id is None or label is None or vector.as_py() is None or vector.values.null_count or len(vector.values) == 0:
+            lists = batch.column("embedding")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            known = pc.and_(pc.is_valid(batch.column("vec_id")), pc.is_valid(batch.column("label"))).to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes[known]).tolist():
+                at = np.flatnonzero(known & (sizes == size))
+                if size == 0:
                     continue
-                v = vector.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                top = np.abs(v).max()
-                if not np.isfinite(v).all() or top == 0:
-                    continue
-                v = v / top
-                v /= np.linalg.norm(v)
-                places.append(place)
-                ids.append(vec_id)
-                labels.append(label)
-                sizes.append(len(v))
-                cells.append(min(CELLS - 1, int((directions(len(v), 1)[0] @ v + 1) / 2 * CELLS)))
-                units.append(v.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(places, pa.int64()), pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(sizes, pa.int32()), pa.array(cells, pa.int32()), pa.array(units, pa.binary())],
-                ["row", "vec_id", "label", "size", "cell", "unit"],
-            )
+                own = batch.take(pa.array(at))
+                v = own.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)  # null: NaN
+                top = np.abs(v).max(axis=1)
+                fine = np.flatnonzero(np.isfinite(v).all(axis=1) & (top > 0))
+                v = v[fine] / top[fine, None]
+                v /= np.linalg.norm(v, axis=1, keepdims=True)
+                cells = np.minimum(CELLS - 1, ((v @ directions(size, 1)[0] + 1) / 2 * CELLS).astype(np.int64))
+                own = own.take(pa.array(fine))
+                step, raw = 8 * size, v.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        own.column("row"), own.column("vec_id"), own.column("label"), pa.array(np.full(len(fine), size), pa.int32()),
+                        pa.array(cells, pa.int32()), pa.array([raw[i : i + step] for i in range(0, len(raw), step)], pa.binary()),
+                    ],
+                    ["row", "vec_id", "label", "size", "cell", "unit"],
+                )
 
     return vectors.mapInArrow(rows, "row bigint, vec_id bigint, label string, size int, cell int, unit binary")
 
