@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from orderflow.llm import (
-    components, embedding_dedup, minhash_dedup, mixing, packing, quality_classifier, quality_rules, sharding, toxicity, warc, wavelet,
+    components, embedding_dedup, hashed_model, minhash_dedup, mixing, packing, quality_classifier, quality_rules, sharding, toxicity, warc, wavelet,
 )
 from orderflow.llm.oracle import ORACLE
 from orderflow.llm.queries import QUERIES
@@ -139,11 +139,51 @@ def test_bm25_ranks_shared_rare_terms_first():
     assert scores.argsort()[::-1][1] == 2
 
 
+def brute_tree(rows, names, target):
+    """Leaves of a k-d tree, left to right: lists of rows (size, keys)."""
+    root = [max(1, max(r[1][k] for r in rows) - min(r[1][k] for r in rows)) for k in names]
+    done, work = [], [rows]
+    while work:
+        node = work.pop()
+        spans = [max(r[1][k] for r in node) - min(r[1][k] for r in node) for k in names]
+        total = sum(r[0] for r in node)
+        if total <= target or not any(spans):
+            done.append(node)
+            continue
+        dim = max(names, key=lambda k: (spans[k] / root[k], -k))
+        below, cut = 0, None
+        for key in sorted({r[1][dim] for r in node}):
+            weight = sum(r[0] for r in node if r[1][dim] == key)
+            if below + weight >= total / 2:
+                cut = key + (total / 2 - below > weight / 2)
+                break
+            below += weight
+        work += [[r for r in node if r[1][dim] >= cut], [r for r in node if r[1][dim] < cut]]
+    return done
+
+
+def test_shards_of_a_target_are_those_of_a_brute_force_tree(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "TOLERANCE", 0)
+    docs = documents(spark, SF)
+    dims = sharding.metadata(docs)
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", (F.octet_length(text) + 1).alias("size"), *[sharding._key(v).alias(f"d{i}") for i, v in enumerate(dims.values())])
+    rows = [(r["size"], [r[f"d{i}"] for i in range(len(dims))], r.doc_id) for r in keyed.collect()]
+    target = sum(r[0] for r in rows) / 9
+    got = {}
+    for r in sharding.kd_shards(docs, target_bytes=target).collect():
+        got.setdefault(r.shard, set()).add(r.doc_id)
+    want = [{r[2] for r in leaf} for leaf in brute_tree(rows, range(len(dims)), target)]
+    assert [got[k] for k in range(len(got))] == want and len(want) > 9
+    weights = {r[2]: r[0] for r in rows}
+    assert all(sum(weights[d] for d in leaf) <= target or len(leaf) == 1 for leaf in want)
+
+
 def test_shards(spark, odd, empty):
     docs = odd.unionByName(documents(spark, "/root/testdata/sf0.01"), allowMissingColumns=True)
-    got = sharding.kd_shards(docs).collect()
+    got = sharding.kd_shards(docs, shards=16).collect()
     assert len(got) == docs.count()
-    small = sharding.kd_shards(documents(spark, "/root/testdata/sf0.01")).collect()
+    small = sharding.kd_shards(documents(spark, "/root/testdata/sf0.01"), shards=16).collect()
     sums, slots = {}, {}
     for r in small:
         sums[r.shard] = sums.get(r.shard, 0) + r.size
@@ -151,10 +191,12 @@ def test_shards(spark, odd, empty):
     assert set(sums) == set(range(16)) and max(sums.values()) < 1.1 * min(sums.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     texts = {r.doc_id: (r.text or "").encode() for r in odd.collect()}
-    named = [r for r in sharding.kd_shards(odd).collect()]
+    named = [r for r in sharding.kd_shards(odd, shards=16).collect()]
     assert len(named) == 12 and {(r.size, r.text_crc32) for r in named if r.doc_id == 4} == {(1, 0)}
     assert {r.text_crc32 for r in named if r.doc_id == 5} == {zlib.crc32(texts[5])}
-    assert sharding.kd_shards(empty).count() == 0
+    assert sharding.kd_shards(empty, shards=16).count() == 0 == sharding.kd_shards(empty, target_bytes=10).count()
+    with pytest.raises(ValueError):
+        sharding.kd_shards(odd)
 
 
 def test_warc(spark):
@@ -319,6 +361,10 @@ def test_rules_on_odd_rows(spark, odd, empty):
     assert rows[5].n_words == 30_000 and rows[10].n_symbols == 4
     assert quality_rules.keep(odd).columns == odd.columns and quality_rules.keep(empty).count() == 0
     assert quality_rules.quality_rules(empty).count() == 0
+    for name in quality_rules.POLICIES:
+        assert all(r[f"passed_{name}"] == (r.failed_bits & quality_rules.mask_of(quality_rules.POLICIES[name]) == 0) for r in rows.values())
+    clash = odd.select("*", F.lit("mine").alias("failed_bits"), F.lit("too").alias("n_words"))
+    assert norm(quality_rules.keep(clash).collect()) == norm([(*r, "mine", "too") for r in quality_rules.keep(odd).collect()])
     table = {r.rule: (r.failed, r.only_this) for r in quality_rules.ablations(quality_rules.ledger(documents(spark, SF)), "v2").collect()}
     bits = [r.failed_bits for r in quality_rules.ledger(documents(spark, SF)).collect()]
     for k, rule in enumerate(quality_rules.RULES):
@@ -326,6 +372,22 @@ def test_rules_on_odd_rows(spark, odd, empty):
     assert {r.failed for r in quality_rules.ablations(quality_rules.ledger(empty), "v1").collect()} == {0}
 
 
+def test_few_kinds_of_words_are_bad_at_any_length(spark):
+    for n in (500, 2000, 2001, 2500, 20_000):
+        text = " ".join(f"w{random.Random(k).randrange(60)}" for k in range(n))
+        rich = " ".join(f"w{k % (n // 3)}" for k in range(n))
+        batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [text, rich]})
+        cast = quality_classifier.unpack(quality_classifier.votes(batch))[:, list(quality_classifier.LABELLERS).index("variety")]
+        assert cast.tolist() == [0, 1]
+
+
+def test_the_sample_keeps_its_size_at_a_tiny_share(spark):
+    rows = spark.range(30_000_000).withColumnRenamed("id", "doc_id")
+    kept = rows.where(hashed_model.drawn(2e-7)).count()
+    assert 1 <= kept <= 15  # a millionth would be 30
+    assert rows.limit(100).where(hashed_model.drawn(1.0)).count() == 100
+
+
 def test_toxicity(spark, odd, empty):
     sf = "/root/testdata/sf0.1"
     docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
@@ -405,6 +467,16 @@ def test_pipeline(spark, odd, empty):
     for r, ids in zip(texts, whole_ids(BYTES, [r.text for r in texts], 0)):
         want[r.doc_id] = want.get(r.doc_id, 0) + len(ids)
     assert tokens == want
+    # windows and documents can be put together again from the result alone
+    rows, windows = {}, {}
+    for r in docs.orderBy("start").collect():
+        rows.setdefault((r.row, r.doc_id), []).append(r.ids)
+        windows.setdefault(r.sequence_id, {})[r.offset] = r.ids
+    assert norm((d, b"".join(p)) for (_, d), p in rows.items()) == norm(
+        (r.doc_id, x.tobytes()) for r, x in zip(texts, whole_ids(BYTES, [r.text for r in texts], 0))
+    )
+    sizes = [sum(map(len, w.values())) // 4 for w in windows.values()]
+    assert max(sizes) == 1024 and sum(n < 1024 for n in sizes) <= 1
     for table in (odd, empty):
         docs = table
         for name, stage in corpus_pipeline.STAGES:
