@@ -39,9 +39,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of documents in windows of 1024 tokens."""
+    """Windows of 1024 tokens: a row for each piece of a document, with its token ids.
+
+    The ids of a sequence's pieces, in the order of their offsets, are the window. Documents that the mix takes
+    several times, some of them cut, have a ``row`` for each time.
+    """
     importable(spark)
-    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), window=1024, end_id=0, with_ids=False)
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), window=1024, end_id=0, with_ids=True)
 
 
 STAGES = [
