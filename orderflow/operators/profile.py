@@ -94,6 +94,11 @@ def row_profile(df: DataFrame, rules: Rules) -> DataFrame:
     return _add_up(with_copies(df), row_counts(df.columns, rules, F.col(COPIES)))
 
 
+def at_hand(small: DataFrame) -> DataFrame:
+    """The same rows, held by the driver: for profiles and reports of one row a column or metric."""
+    return small.sparkSession.createDataFrame([tuple(r) for r in small.collect()], small.schema)
+
+
 def null_audit(profile: DataFrame) -> DataFrame:
     """(column, nulls) from a profile."""
     columns = [c for c in profile.columns if c.startswith("nulls:")]

@@ -22,7 +22,7 @@ from orderflow.fixed_values import (
     VALID_CATEGORIES,
 )
 from orderflow.operators.generate import generate_orders
-from orderflow.operators.profile import null_report, row_profile, score_summary
+from orderflow.operators.profile import at_hand, null_report, row_profile, score_summary
 from orderflow.operators.rules import order_rules
 from orderflow.operators.schema import (
     cell_findings,
@@ -49,7 +49,6 @@ from orderflow.plans.warehouse import (
 from orderflow.sources import versions
 from orderflow.sources.csv_files import read_csv, write_csv
 from orderflow.sources.lineage_log import flatten_log, read_log
-from orderflow.sources.shared_folder import stage
 
 RAW = "raw/raw_orders"
 STAGING = "staging/staging_orders"
@@ -131,10 +130,10 @@ class Pipeline:
         orders = nan_to_null(typed)
         rules = order_rules(self.valid_categories)
         before = profile_and_clean(orders, rules, self.path(VALIDATED), self.email_mode)
-        after = stage(row_profile(self.read(VALIDATED), rules), "profile_after")
-        summary = stage(score_summary(before, after), "score_summary")
-        write_csv(null_report(before, after), self.path(f"{REPORTS_FOLDER}/data_quality_report"))
-        write_csv(summary, self.path(f"{REPORTS_FOLDER}/quality_score_summary"))
+        after = at_hand(row_profile(self.read(VALIDATED), rules))
+        summary = at_hand(score_summary(before, after))
+        write_csv(at_hand(null_report(before, after)).coalesce(1), self.path(f"{REPORTS_FOLDER}/data_quality_report"))
+        write_csv(summary.coalesce(1), self.path(f"{REPORTS_FOLDER}/quality_score_summary"))
         metrics = {r.metric: r.value for r in summary.collect()}
         self._log(
             STAGE_VALIDATE,

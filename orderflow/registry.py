@@ -13,8 +13,8 @@ from orderflow.operators import clean, generate, profile, sampling, schema, vali
 from orderflow.operators.rules import order_rules
 from orderflow.plans import fixture, governance, lineage, reports, warehouse
 from orderflow.plans.pipeline import STAGING, VALIDATED, WAREHOUSE, Pipeline
+from orderflow.sources import files, versions
 from orderflow.sources import lineage_log as log_files
-from orderflow.sources import versions
 from orderflow.sources.csv_files import read_csv, write_csv
 from orderflow.sources.shared_folder import new_folder, stage
 
@@ -29,12 +29,12 @@ def rules() -> dict[str, Column]:
     return order_rules(fixture.FIXTURE_CATEGORIES)
 
 
-_written: dict[tuple[str, str, str], object] = {}
+_written: dict[tuple, object] = {}
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
-    """Stage results are written once per session and table folder, as the pipeline does."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """Stage results are written once per session and state of the table folder, as the pipeline does."""
+    key = (spark.sparkContext.applicationId, sf_dir, files.stamp(spark, sf_dir), name)
     if key not in _written:
         _written[key] = build()
     return _written[key]

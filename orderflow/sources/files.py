@@ -25,6 +25,15 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(status.getPath().getName() for status in system.listStatus(place) if status.isFile())
 
 
+def stamp(spark: SparkSession, folder: str) -> tuple[tuple[str, int, int], ...]:
+    """(name, length, time of change) of what lies in a folder: another stamp means other contents."""
+    system, place = _hadoop(spark, folder)
+    if not system.exists(place):
+        return ()
+    found = [(s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in system.listStatus(place)]
+    return tuple(sorted(found))
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> bool:
     """Write a file under its name once it is whole. False, and nothing changed, if the name is taken."""
     folder, _, name = path.rpartition("/")

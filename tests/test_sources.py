@@ -129,6 +129,18 @@ def test_a_small_file_is_written_once(spark):
     assert files.read_text(spark, f"{path}/a.json") == "é1" and files.names(spark, path) == ["a.json"]
 
 
+def test_derived_tables_follow_their_folder(spark, tmp_path):
+    from orderflow import registry
+
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    built = []
+    for _ in range(2):
+        registry._once(spark, str(tmp_path), "thing", lambda: built.append(1))
+    spark.range(2).write.parquet(str(tmp_path / "u.parquet"))
+    registry._once(spark, str(tmp_path), "thing", lambda: built.append(2))
+    assert built == [1, 2]
+
+
 def log(spark, path, source, target, rows_in=5, rows_out=3, run_id="r1", attempt=None, stage=None):
     done = StageRun(run_id, stage or f"{source}>{target}", source, target, rows_in, rows_out, ("a", "b"), extra={"k": [1]}, attempt=attempt)
     return done.log(spark, path)
