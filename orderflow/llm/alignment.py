@@ -23,7 +23,6 @@ are plain text. An empty table gives no row. Other columns do not matter.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,8 +35,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.pieces import LETTER, Pieces, cut, long_text_slices, ranges
+from orderflow.llm.pieces import LETTER, Pieces, as_bytes, byte_letters, cut, long_text_slices, ranges
 from orderflow.llm.tables import written
+from orderflow.llm.tokens import encoder, released
 from orderflow.llm.words import chunks
 
 CHUNK_BYTES = 4 << 20
@@ -54,13 +54,6 @@ ALIGNED = (
 )
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that byte-level files write for each byte: itself where it prints, else one from 256 on."""
-    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in prints]
-    return {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(others)}
-
-
 class Table:
     """Bytes of all ids of a vocabulary, one after another."""
 
@@ -77,18 +70,17 @@ class ByteLevel:
     """Ids and bytes of a byte-level file of the tokenizers library."""
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        letters, entries = byte_letters(), [b""] * self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.encoder = encoder(path, plain=True)
+        self.tokenizer = self.encoder.tokenizer
+        letters, entries = byte_letters(), [b""] * self.encoder.vocabulary
         for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
             entries[number] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.table = Table(entries)
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, owner): the ids of all pieces and the piece that each is of."""
+        ids, sizes = self.encoder.of_pieces(pieces)
+        return ids.astype(np.int64), np.repeat(np.arange(len(pieces)), sizes)
 
 
 class PieceModel:
@@ -105,11 +97,14 @@ class PieceModel:
             raise ValueError("tokens of this file reach over the ends of words")
         self.space, self.feed = self.model.piece_to_id("▁"), self.model.encode("\n")
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        """The model's own space stands for the first of a piece; other pieces follow a line feed that is dropped."""
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, owner): the ids of all pieces and the piece that each is of.
+
+        The model's own space stands for the first of a piece; other pieces follow a line feed that is dropped.
+        """
         found = self.model.encode([p[1:] if p[0] == " " else "\n" + p for p in pieces], num_threads=1)
         skip = len(self.feed)
-        return [ids if p[0] == " " and len(p) > 1 else [self.space] if p == " " else ids[skip:] for p, ids in zip(pieces, found)]
+        return _flat([ids if p[0] == " " and len(p) > 1 else [self.space] if p == " " else ids[skip:] for p, ids in zip(pieces, found)])
 
 
 @cache
@@ -209,11 +204,10 @@ def _pairs(a, b, label_a, label_b, owner_of_group, n_groups: int, n: int, width:
 
 def align(distinct: pa.Array, byte_level: ByteLevel, piece_model: PieceModel) -> Aligned:
     """Tokens, groups and links of each piece of ``distinct``."""
-    n, names = len(distinct), distinct.to_pylist()
-    (a, owner_a), (b, owner_b) = _flat(byte_level.encode(names)), _flat(piece_model.encode(names))
-    raw = distinct.cast(pa.large_binary())
-    sizes = pc.binary_length(raw).to_numpy().astype(np.int64)
-    data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
+    n, names = len(distinct), as_bytes(distinct)
+    (a, owner_a), (b, owner_b) = byte_level.encode(distinct), piece_model.encode([name.decode() for name in names])
+    sizes = np.fromiter(map(len, names), np.int64, n)
+    data = np.frombuffer(b"".join(names), np.uint8)
     fine = _same_bytes(a, owner_a, byte_level.table, data, sizes) & _same_bytes(b, owner_b, piece_model.table, data, sizes)
     for_a, for_b = fine[owner_a], fine[owner_b]
     a, owner_a, b, owner_b = a[for_a], owner_a[for_a], b[for_b], owner_b[for_b]
@@ -288,7 +282,7 @@ def aligned(docs: DataFrame, byte_level: str, piece_model: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers = _tokenizers(byte_level, piece_model)
-        for batch in batches:
+        for batch in released(batches):
             for chunk in chunks(batch, most=CHUNK_BYTES):
                 texts = pc.fill_null(chunk.column("text").cast(pa.large_string()), "")
                 if pc.max(pc.utf8_length(texts)).as_py() > LONG_CHARS:

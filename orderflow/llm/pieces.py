@@ -34,52 +34,71 @@ _BETWEEN_WORDS = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
 
 @dataclass
 class Pieces:
-    """Text ``i`` is made of the pieces ``distinct[of[first[i]:first[i + 1]]]``, in this order."""
+    """Text ``i`` is made of the pieces ``distinct[of[first[i]:first[i + 1]]]``, in this order.
+
+    A piece of an odd text may be in ``distinct`` twice.
+    """
 
     distinct: pa.Array
     of: np.ndarray
     first: np.ndarray
 
 
-def _any(values: pa.Array, *patterns: str) -> pa.Array:
-    found = pc.match_substring(values, patterns[0])
-    for p in patterns[1:]:
-        found = pc.or_(found, pc.match_substring(values, p))
-    return found
+def byte_letters() -> dict[str, int]:
+    """The letter that byte-level files write for each byte: itself where it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+def as_bytes(values: pa.Array) -> list[bytes]:
+    """The UTF-8 of each string of a large string array without nulls."""
+    if not len(values):
+        return []
+    ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1].tolist()
+    raw = (values.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+    return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def cut(texts: pa.Array) -> Pieces:
     """The pieces of a string array without nulls."""
     texts = texts.cast(pa.large_string())
-    odd = pc.or_(pc.match_substring_regex(texts, _ODD), _any(texts, "  ", "\n\n", " \n", "\n "))
-    odd = pc.or_(odd, pc.or_(pc.starts_with(texts, "\n"), pc.or_(pc.ends_with(texts, " "), pc.ends_with(texts, "\n"))))
+    odd = pc.match_substring_regex(texts, f"{_ODD}|[ \n][ \n]|\\A\n|[ \n]\\z")
     marked = pc.replace_substring(pc.replace_substring(texts, " ", f"{_CUT} "), "\n", f"{_CUT}\n")
     apart = marked
     for stop in ".,":
         apart = pc.replace_substring(apart, f"{stop}{_CUT}", f"{_CUT}{stop}{_CUT}")
     marked = pc.if_else(pc.match_substring_regex(texts, _JOINED_STOP), marked, apart)
     where = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-    nothing = pa.scalar("", pa.large_string())
     if len(where):
-        marked = pc.if_else(odd, nothing, marked)
-    # a text opens with a mark now or gets one: what splits off before it is empty
-    marked = pc.if_else(pc.starts_with(marked, _CUT), marked, pc.binary_join_element_wise(nothing, marked, pa.scalar(_CUT, pa.large_string())))
+        marked = pc.if_else(odd, pa.scalar("", pa.large_string()), marked)
     lists = pc.split_pattern(marked, _CUT)
     sizes = lists.value_lengths().to_numpy().astype(np.int64)
-    flat = lists.flatten()
-    keep = ~pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    ends = np.concatenate([[0], np.cumsum(keep)])[np.cumsum(sizes)]
-    sizes = np.diff(ends, prepend=0)
-    start = ends - sizes
-    kept = flat.filter(pa.array(keep))
-    if len(where):
-        own = [_BETWEEN_WORDS.split(t) for t in texts.take(pa.array(where)).to_pylist()]
-        sizes[where] = [len(p) for p in own]
-        start[where] = len(kept) + np.cumsum(sizes[where]) - sizes[where]
-        kept = pa.concat_arrays([kept, pa.array([p for one in own for p in one], pa.large_string())])
-    coded = kept.dictionary_encode()
-    of = coded.indices.to_numpy(zero_copy_only=False)
-    return Pieces(coded.dictionary, of[ranges(start, sizes)] if len(where) else of, np.concatenate([[0], np.cumsum(sizes)]))
+    distinct, of = _distinct(lists.flatten())
+    # what lies before a mark that opens a text, and an empty text, are no pieces
+    empty = np.flatnonzero(pc.equal(pc.binary_length(distinct), 0).to_numpy(zero_copy_only=False))
+    if len(empty):
+        gone = int(empty[0])
+        keep = of != gone
+        sizes = np.diff(np.concatenate([[0], np.cumsum(keep)])[np.cumsum(sizes)], prepend=0)
+        of = of[keep]
+        of -= of > gone
+        distinct = pa.concat_arrays([distinct[:gone], distinct[gone + 1 :]])
+    if not len(where):
+        return Pieces(distinct, of, np.concatenate([[0], np.cumsum(sizes)]))
+    start = np.cumsum(sizes) - sizes
+    own = [[p for p in _BETWEEN_WORDS.split(t) if p] for t in texts.take(pa.array(where)).to_pylist()]
+    sizes[where] = [len(p) for p in own]
+    start[where] = len(of) + np.cumsum(sizes[where]) - sizes[where]
+    more, places = _distinct(pa.array([p for one in own for p in one], pa.large_string()))
+    of = np.concatenate([of, places + len(distinct)])
+    return Pieces(pa.concat_arrays([distinct, more]), of[ranges(start, sizes)], np.concatenate([[0], np.cumsum(sizes)]))
+
+
+def _distinct(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The different values, and the place of each value among them."""
+    coded = values.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).copy()
 
 
 def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -1,142 +1,162 @@
 """Token ids of whole texts by a public tokenizer's file, a chunk of documents at a time.
 
-Both kinds of file split a text at white space before any merge, and a single full stop or comma
-from the letters before it, so a text's ids are those of such pieces, one after another. The distinct pieces of a chunk go to the tokenizers library
-in one call; the ids of pieces that come again are remembered. Texts with other white space than
-single spaces and line feeds go to the library whole. Strings that name special tokens are
-ordinary text. Null is read as empty.
+Texts are cut into pieces that the file encodes independently of each other (``pieces``), so a
+text's ids are those of its pieces, one after another. Only the distinct pieces of a chunk are looked
+up; those not remembered go to the tokenizers library together. Ids are gathered as one array a chunk.
+
+Texts are encoded as the library does with ``add_special_tokens=False``: names of special tokens in a
+text become those tokens, or with ``plain`` ordinary text. Null is read as empty.
 """
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
-from itertools import chain
+import sys
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from orderflow.llm.pieces import as_bytes, byte_letters, cut, ranges
 
 #: Pieces that a Python worker remembers. The most frequent ones come first, so a full memory stays
 #: as it is, until a chunk finds less than half of its pieces in it.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 #: A piece is remembered when it comes a second time; one mark each, by hash.
-_MARKS = 1 << 24
-
-#: Unicode white space and separators other than the space and the line feed.
-_ODD = re.compile("[\x00-\x09\x0b-\x1f\x85\xa0 ᠎ -‍    　﻿]")
+_MARKS = 1 << 22
 
-#: A full stop or comma that ends a piece and may share a merge with the character before it.
-_JOINED_STOP = re.compile("[^A-Za-z0-9À-ÖØ-öø-įı-ɏ][.,](?=[ \n]|\\Z)")
+#: A word of letters that pre-tokenizers keep together, and marks that they keep together behind it.
+_WORD = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*.,;:?]*)")
 
-#: Opens a piece that has no space before it.
-_TIGHT = "\x01"
+#: Latin-1 characters as byte-level files write the bytes they stand for.
+_BYTE_LETTERS = {byte: letter for letter, byte in byte_letters().items()}
 
-_loaded: dict[str, Encoder] = {}
+_loaded: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """The encoder of a file, once per Python worker."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    if (path, plain) not in _loaded:
+        _loaded[path, plain] = Encoder(path, plain)
+    return _loaded[path, plain]
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        # byte-level ids open a piece behind a space with a token that holds the space
-        self.opens = np.zeros(self.vocabulary, dtype=bool)
-        for token, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            self.opens[number] = token.startswith("Ġ")
-        self.spaced = bool(self.opens[self._ids(" a")[0]])
-        self.separator = int(self._ids("\n" if self.spaced else "\x00")[0])
-        self.fixed = {f"{_TIGHT}\n": self._ids("\n").astype("<u4").tobytes()} if self.spaced else {}
-        self.known: dict[str, bytes] = dict(self.fixed)
+        # byte-level files open a piece behind a space with a token that holds the space
+        self.spaced = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0].startswith("Ġ")
+        self.merge = self.tokenizer.model.tokenize
+        self.feed = self._ids("\n").tobytes()
+        self.marks_known: dict[str, bytes] = {}
+        self.words = self._takes_words()
+        self.known: dict[bytes, bytes] = {}
         self.marks = bytearray(_MARKS)
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _look_up(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, each as it is behind white space."""
+    def _merged(self, letters: str, space: str = "") -> bytes:
+        """Ids of a word's letters, or of a run of marks, by the file's merges alone."""
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.merge(space + letters)]).tobytes()
+
+    def _word(self, head: str, letters: str, marks: str) -> bytes:
+        """Ids of a word behind a space, a line feed or nothing, and of the marks behind it."""
         if not self.spaced:
-            return self._apart(pieces, " \x00 ".join(pieces))
-        loose = self._apart([p for p in pieces if p[0] != _TIGHT], None)
-        tight = [p[1:] for p in pieces if p[0] == _TIGHT]
-        tight = self._apart(tight, "\n".join(tight))
-        loose, tight = iter(loose), iter(tight)
-        return [next(tight if p[0] == _TIGHT else loose) for p in pieces]
-
-    def _apart(self, pieces: list[str], joined: str | None) -> list[bytes]:
-        """Ids of each piece, from one call: cut at a separator, or where a token opens with a space."""
-        if not pieces:
-            return []
-        text = " " + " ".join(pieces) if joined is None else joined
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-        if joined is None:
-            starts = np.flatnonzero(self.opens[ids])
-            ends = np.append(starts[1:], len(ids))
+            ids = self._merged(letters.lower())
+        elif head == "\n":
+            ids = self.feed + self._merged(letters)
         else:
-            cuts = np.flatnonzero(ids == self.separator)
-            starts, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
-        if len(starts) != len(pieces):
-            raise ValueError("the tokenizer did not keep the pieces apart")
-        raw = ids.astype("<u4").tobytes()
-        return [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
-
-    def _remember(self, pieces: list[str], found: list[bytes], of: int) -> None:
+            ids = self._merged(letters, head and "Ġ")
+        if not marks:
+            return ids
+        if marks not in self.marks_known:
+            if len(self.marks_known) >= 10_000:
+                self.marks_known = {}
+            self.marks_known[marks] = self._merged(marks)
+        return ids + self.marks_known[marks]
+
+    def _takes_words(self) -> bool:
+        """Whether the merges of letters and marks alone give the ids of such pieces in a text."""
+        pieces = (" a", "The", "\nUntangled", " QUICKLY!!", " zqxvjk###", " Überführung", "\nÑandú", " Éa.,", "ß", " naïve%%%")
+        return all(self._word(*_WORD.fullmatch(p).groups()) == self._ids(p).tobytes() for p in pieces)
+
+    def _look_up(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces, each as it is in a text. Words with marks skip all that comes before the merges."""
+        found: list[bytes] = [b""] * len(pieces)
+        match, word, others = _WORD.fullmatch, self._word, []
+        for i, piece in enumerate(pieces):
+            text = piece.decode()
+            own = match(text) if self.words else None
+            if own:
+                found[i] = word(*own.groups())
+            else:
+                others.append((i, text))
+        apart = self.tokenizer.encode_batch_fast([text for _, text in others], add_special_tokens=False)
+        for (i, _), e in zip(others, apart):
+            found[i] = array("I", e.ids).tobytes()
+        return found
+
+    def _remember(self, pieces: list[bytes], found: list[bytes], of: int) -> None:
         if len(self.known) >= REMEMBERED:
             if 2 * len(pieces) < of:
                 return
-            self.known = dict(self.fixed)
+            self.known = {}
         marks = self.marks
         for piece, ids in zip(pieces, found):
             mark = hash(piece) & (_MARKS - 1)
             if marks[mark]:
-                self.known[piece] = ids
+                if len(piece) < 64:
+                    self.known[piece] = ids
             else:
                 marks[mark] = 1
 
+    def of_pieces(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes): the ids of different pieces, one after another, and how many each has."""
+        names = as_bytes(distinct)
+        table = list(map(self.known.get, names))
+        places = [i for i, ids in enumerate(table) if ids is None]
+        fresh = [names[i] for i in places]
+        found = self._look_up(fresh)
+        for i, ids in zip(places, found):
+            table[i] = ids
+        self._remember(fresh, found, len(names))
+        return np.frombuffer(b"".join(table), "<u4"), np.fromiter(map(len, table), np.int64, len(table)) // 4
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first): all ids of the texts, those of text ``i`` are ``ids[first[i]:first[i + 1]]``."""
+        pieces = cut(pc.fill_null(texts.cast(pa.large_string()), ""))
+        flat, sizes = self.of_pieces(pieces.distinct)
+        each = sizes[pieces.of]
+        ids = flat[ranges((np.cumsum(sizes) - sizes)[pieces.of], each)]
+        return ids, np.concatenate([[0], np.cumsum(each)])[pieces.first]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self._pieces(text or "") for text in texts]
-        table = dict.fromkeys(chain.from_iterable(p for p in cut if p is not None))
-        known = self.known
-        fresh = []
-        for piece in table:
-            ids = known.get(piece)
-            if ids is None:
-                fresh.append(piece)
-            else:
-                table[piece] = ids
-        ids = self._look_up(fresh)
-        table.update(zip(fresh, ids))
-        self._remember(fresh, ids, len(table))
-        of = table.__getitem__
-        return [
-            self._ids(text).astype("<u4").tobytes() if pieces is None else b"".join(map(of, pieces))
-            for text, pieces in zip(texts, cut)
-        ]
-
-    def _pieces(self, text: str) -> list[str] | None:
-        """The pieces of a text; None: to be encoded whole."""
-        if not text:
-            return []
-        if _ODD.search(text):
-            return None
-        stops = not _JOINED_STOP.search(text)
-        if not self.spaced:
-            if stops:
-                text = text.replace("\n", " ").replace(". ", " . ").replace(", ", " , ")
-            return text.split()
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
-            return None  # white space that doesn't stand alone between pieces
-        text = _TIGHT + text.replace("\n", f" {_TIGHT}\n {_TIGHT}")
-        if stops:
-            text = text.replace(". ", f" {_TIGHT}. ").replace(", ", f" {_TIGHT}, ")
-        return text.split(" ")
+        ids, first = self.encode_array(pa.array(texts, pa.large_string()))
+        raw, ends = ids.tobytes(), (4 * first).tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; behind the last, unused memory goes back to the system, as the worker lives on."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)

@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orderflow.llm.tables import parts
-from orderflow.llm.tokens import encoder
+from orderflow.llm.tokens import encoder, released
 from orderflow.llm.words import chunks
 from orderflow.sources.shared_folder import new_folder
 
-SHARD_TOKENS = 2_000_000
+#: Tokens of a shard, or a document more: its arrays stay in a processor's cache.
+SHARD_TOKENS = 1 << 19
 PARTITION_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 RANK_BITS = 512
 
 SHARDS = (
@@ -48,14 +50,14 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes, ranks, zeros = [], [], []
         for place in range(bits - 1, -1, -1):
-            ones = ((now >> place) & 1).astype(bool)
+            ones = (now & now.dtype.type(1 << place)) != 0
             packed = np.packbits(ones, bitorder="little")
             step = RANK_BITS // 8
             blocks = np.add.reduceat(_ONES[packed], np.arange(0, len(packed), step), dtype=np.int64) if len(packed) else np.zeros(0, np.int64)
             planes.append(packed)
             ranks.append(np.concatenate([[0], np.cumsum(blocks)]).astype("<u4"))
-            zeros.append(int(len(now) - ones.sum()))
-            now = np.concatenate([now[~ones], now[ones]])
+            zeros.append(len(now) - int(np.count_nonzero(ones)))
+            now = np.concatenate([np.compress(~ones, now), np.compress(ones, now)])
         return cls(len(ids), planes, ranks, zeros)
 
     def decode(self) -> np.ndarray:
@@ -65,8 +67,8 @@ class WaveletMatrix:
         for level in range(bits - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             above = np.empty_like(now)
-            above[~ones] = now[: self.zeros[level]]
-            above[ones] = now[self.zeros[level] :] | now.dtype.type(1 << (bits - 1 - level))
+            above[np.flatnonzero(~ones)] = now[: self.zeros[level]]
+            above[np.flatnonzero(ones)] = now[self.zeros[level] :] | now.dtype.type(1 << (bits - 1 - level))
             now = above
         return now
 
@@ -140,30 +142,32 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> N
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         bits = max(1, (max(encode.vocabulary - 1, end_id)).bit_length())
-        end = np.array([end_id], "<u4").tobytes()
-        held, ids, sizes, number = [], [], [], TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 32
+        tokens, docs_held, sizes = np.zeros(0, np.uint32), [], np.zeros(0, np.int64)
 
-        def shard() -> pa.RecordBatch:
-            matrix = WaveletMatrix.build(np.frombuffer(b"".join(held), "<u4"), bits)
+        def shard(ids: np.ndarray, names: list, counts: np.ndarray) -> pa.RecordBatch:
+            matrix = WaveletMatrix.build(ids, bits)
             return pa.RecordBatch.from_pylist(
                 [{
                     "shard": number, "n_tokens": matrix.n, "planes": [p.tobytes() for p in matrix.planes],
-                    "ranks": [r.tobytes() for r in matrix.ranks], "zeros": matrix.zeros, "doc_ids": ids, "doc_tokens": sizes,
+                    "ranks": [r.tobytes() for r in matrix.ranks], "zeros": matrix.zeros, "doc_ids": names, "doc_tokens": counts.tolist(),
                 }],
                 schema,
             )
 
-        for batch in batches:
-            for chunk in chunks(batch, most=2 << 20):
-                for doc, found in zip(chunk.column("doc_id").to_pylist(), encode.encode(chunk.column("text").to_pylist())):
-                    held.append(found + end)
-                    ids.append(doc)
-                    sizes.append(len(found) // 4 + 1)
-                if sum(sizes) >= SHARD_TOKENS:
-                    yield shard()
-                    held, ids, sizes, number = [], [], [], number + 1
-        if held:
-            yield shard()
+        for batch in released(batches):
+            for chunk in chunks(batch, most=CHUNK_BYTES):
+                found, first = encode.encode_array(chunk.column("text"))
+                tokens = np.concatenate([tokens, np.insert(found, first[1:], end_id)])  # the end id of each document
+                docs_held += chunk.column("doc_id").to_pylist()
+                sizes = np.concatenate([sizes, np.diff(first) + 1])
+                while len(tokens) >= SHARD_TOKENS:  # whole documents
+                    n = int(np.searchsorted(np.cumsum(sizes), SHARD_TOKENS)) + 1
+                    at = int(sizes[:n].sum())
+                    yield shard(tokens[:at], docs_held[:n], sizes[:n])
+                    tokens, docs_held, sizes, number = tokens[at:], docs_held[n:], sizes[n:], number + 1
+        if docs_held:
+            yield shard(tokens, docs_held, sizes)
 
     blobs, longs = pa.list_(pa.binary()), pa.list_(pa.int64())
     schema = pa.schema(
@@ -199,11 +203,13 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                 )
 
     shards = spark.read.schema(SHARDS).parquet(folder)
-    # a row for each shard, not each document
-    before = shards.select("shard", "n_tokens").select(
-        "shard",
-        (F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")).alias("base"),
-    )
+    # a row for each shard, summed within its task's; over the tasks, a row for each task
+    task = F.shiftright("shard", 32).alias("task")
+    sums = shards.select("shard", task, "n_tokens")
+    by_task = sums.groupBy("task").agg(F.sum("n_tokens").alias("n"))
+    over_tasks = by_task.select("task", (F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("start"))
+    within = F.sum("n_tokens").over(Window.partitionBy("task").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
+    before = sums.withColumn("within", within).join(over_tasks, "task").select("shard", (F.col("start") + F.col("within")).alias("base"))
     found = shards.mapInArrow(rows, "shard bigint, doc_id bigint, place bigint, n_tokens bigint, ids_crc32 bigint")
     return found.join(before, "shard").select(
         "doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", "shard"
