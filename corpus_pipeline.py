@@ -8,7 +8,6 @@ columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from orderflow.llm import minhash_dedup, mixing, packing, quality_classifier, quality_rules
 from orderflow.llm.tables import documents, importable, tokenizer_file, written
