@@ -4,11 +4,14 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from orderflow.operators import clean, median, profile, sampling, validation
+from orderflow import registry
+from orderflow.operators import clean, median, profile, repeats, sampling, validation
 from orderflow.operators.rules import order_rules
 from orderflow.plans import reports, warehouse
 from orderflow.sources import versions
-from orderflow.sources.shared_folder import new_folder
+from orderflow.sources.csv_files import write_csv
+from orderflow.sources.shared_folder import new_folder, stage
+from tests.conftest import SF_DIR
 
 
 def plan(df):
@@ -79,3 +82,48 @@ def test_a_sample_may_cut_through_hot_copies(spark, orders):
     keys = ("order_id", "product_id", "quantity", "customer_id")
     out = sampling.sample_rows(df, keys, 5000)
     assert out.count() == 5000 and out.exceptAll(df).isEmpty()
+
+
+def whole_row_shuffles(df):
+    """Exchanges of the plan that group by every column of a table, by their key."""
+    return [line for line in plan(df).splitlines() if "Exchange hashpartitioning" in line and "payment_method" in line]
+
+
+def test_rows_without_an_equal_are_not_shuffled(spark, orders):
+    df = skewed(spark, orders)
+    alone, others = repeats.split(df)
+    assert others.distinct().count() < 100 and others.count() >= 3000
+    assert not others.exceptAll(df).count() and alone.count() + others.count() == 9001
+    assert not whole_row_shuffles(alone)
+
+
+def test_a_crowded_filter_loses_no_copy(spark, orders, monkeypatch):
+    df = skewed(spark, orders)
+    monkeypatch.setattr(repeats, "FILTER_BITS", 64)
+    alone, others = repeats.split(df)
+    assert others.count() > 3020 and alone.count() + others.count() == 9001
+    assert {r["copies"] for r in profile.duplicate_sets(df).collect()} == {3000}
+    assert clean.deduplicate(df).count() == df.distinct().count()
+
+
+def test_equal_cells_that_differ_in_bits_have_one_hash(spark):
+    df = spark.createDataFrame([(0.0, None), (-0.0, None), (float("nan"), "x"), (float("nan"), "x")], "a double, b string")
+    assert sorted(r["copies"] for r in profile.duplicate_sets(df).collect()) == [2, 2]
+
+
+def test_only_prices_of_products_that_lack_one_are_counted(spark, orders):
+    df = skewed(spark, orders)
+    counts = clean.price_counts(df)
+    missing = counts.where("unit_price is null").select("product_id")
+    assert {r.product_id for r in repeats.among(counts, missing, "product_id").select("product_id").distinct().collect()} == {5}
+    assert [(r.product_id, r.missing) for r in clean.product_fills(counts).collect()] == [(5, 1)]
+
+
+def test_small_groups_are_ranked_and_large_ones_cut(spark, monkeypatch):
+    rows = [(g, float(v), n) for g, size in ((1, 3), (2, 40), (3, 41)) for v in range(size) for n in (1, 2)]
+    counts = spark.createDataFrame(rows, "g int, v double, n bigint")
+    monkeypatch.setattr(median, "_RANKED", 50)
+    small, large = median._by_size(counts, ["g"])
+    assert {r.g for r in small.collect()} == {1} and {r.g for r in large.collect()} == {2, 3}
+    found = {r.g: r["median"] for r in median.median_of_counts(counts, ["g"], "v", "n").collect()}
+    assert found == {1: 1.0, 2: 19.5, 3: 20.0}
