@@ -127,3 +127,16 @@ def test_small_groups_are_ranked_and_large_ones_cut(spark, monkeypatch):
     assert {r.g for r in small.collect()} == {1} and {r.g for r in large.collect()} == {2, 3}
     found = {r.g: r["median"] for r in median.median_of_counts(counts, ["g"], "v", "n").collect()}
     assert found == {1: 1.0, 2: 19.5, 3: 20.0}
+
+
+def test_months_are_told_apart_without_their_amounts(spark, raw):
+    text = plan(reports.monthly_revenue_normalized(warehouse.fact_orders(raw)))
+    shuffled = [line for line in text.splitlines() if "Exchange hashpartitioning" in line and "order_id" in line]
+    assert len(shuffled) == 1
+    keys = text[text.index("HashAggregate(keys=[order_year") :]
+    assert "functions=[]" in keys  # the distinct ids travel alone
+
+
+def test_tables_are_written_compactly(spark, orders):
+    df = stage(orders({}), "small")
+    assert all(".zstd." in name for name in df.inputFiles())
