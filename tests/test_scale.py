@@ -140,3 +140,10 @@ def test_months_are_told_apart_without_their_amounts(spark, raw):
 def test_tables_are_written_compactly(spark, orders):
     df = stage(orders({}), "small")
     assert all(".zstd." in name for name in df.inputFiles())
+
+
+def test_no_task_reads_a_whole_table_for_the_broken_files(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(registry, "write_csv", lambda df, path: (written.update({path.rpartition("/")[2]: plan(df)}), write_csv(df, path)))
+    registry.csv_mixed_files(spark, SF_DIR)
+    assert "Coalesce" not in written["broken"]
