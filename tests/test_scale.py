@@ -106,6 +106,13 @@ def test_a_crowded_filter_loses_no_copy(spark, orders, monkeypatch):
     assert clean.deduplicate(df).count() == df.distinct().count()
 
 
+def test_a_filter_of_many_hashes_lets_few_others_pass(spark):
+    wanted = spark.range(2_000_000)
+    others = spark.range(2_000_000, 3_000_000)
+    assert repeats.among(wanted, wanted, "id").count() == 2_000_000
+    assert repeats.among(others, wanted, "id").count() < 10_000
+
+
 def test_equal_cells_that_differ_in_bits_have_one_hash(spark):
     df = spark.createDataFrame([(0.0, None), (-0.0, None), (float("nan"), "x"), (float("nan"), "x")], "a double, b string")
     assert sorted(r["copies"] for r in profile.duplicate_sets(df).collect()) == [2, 2]
