@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from orderflow import registry
 from orderflow.operators import clean, median, profile, repeats, sampling, validation
 from orderflow.operators.rules import order_rules
-from orderflow.plans import reports, warehouse
+from orderflow.plans import fixture, reports, warehouse
 from orderflow.sources import versions
 from orderflow.sources.csv_files import write_csv
 from orderflow.sources.shared_folder import new_folder, stage
@@ -154,3 +154,13 @@ def test_no_task_reads_a_whole_table_for_the_broken_files(spark, monkeypatch):
     monkeypatch.setattr(registry, "write_csv", lambda df, path: (written.update({path.rpartition("/")[2]: plan(df)}), write_csv(df, path)))
     registry.csv_mixed_files(spark, SF_DIR)
     assert "Coalesce" not in written["broken"]
+
+
+def test_lines_meet_their_parts_before_they_are_wide(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(fixture.raw_orders(spark, SF_DIR))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert text.index("hashpartitioning(l_orderkey") < text.index("hashpartitioning(l_partkey")
